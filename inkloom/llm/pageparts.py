@@ -11,6 +11,7 @@ LINK = re.compile(r"\[([^\]]*)\]\(([^)]*)\)")
 TABLE_ROW = re.compile(r"\s*\|.*\|\s*$")
 CHECKBOX = re.compile(r"\s*[-*] \[[ xX]\]\s")
 SENTENCE_END = re.compile(r"[.!?。！？…][\"'”’»“)\]]*$")
+SENTENCE_INSIDE = re.compile(r"[.!?。！？][\"”»]?(?:\s|$)")
 SITE_LINK = re.compile(r"^\[[^\]]*\]\((?:/|https?://[^/)]*/?)\)$")
 #: Links inside the site: to a numbered item, or to a section.
 ITEM_LINK = re.compile(r"\]\((?:https?://[^/)]*)?/\d+\)")
@@ -46,7 +47,7 @@ def signature(line: str) -> str:
 
 
 def _plain(text: str) -> str:
-    return LINK.sub(r"\1", text)
+    return LINK.sub(r"\1", text) if "](" in text else text
 
 
 def _kind(lines: list[str]) -> str:
@@ -55,7 +56,7 @@ def _kind(lines: list[str]) -> str:
         return "heading"
     if first.lstrip().startswith(">"):
         return "quote"
-    if all(TABLE_ROW.match(x) for x in lines):
+    if "|" in first and all(TABLE_ROW.match(x) for x in lines):
         return "table"
     if CHECKBOX.match(first):
         return "checks"
@@ -68,16 +69,22 @@ def _prose(lines: list[str]) -> bool:
     """Sentences of an article: long enough, ending as sentences do, not mainly links."""
     text = " ".join(lines)
     plain = _plain(text)
-    wide = sum(c > "⺀" for c in plain) * 2
-    return len(plain) + wide >= 70 and bool(SENTENCE_END.search(plain.rstrip())) and _link_share(lines) < 0.5 and not BAR_LINE.search(plain)
+    size = len(plain)
+    if not plain.isascii() and len(plain.encode()) > 2.2 * size:
+        size *= 3  # a Chinese or Japanese sign counts as three letters
+    return size >= 70 and bool(SENTENCE_END.search(plain.rstrip())) and _link_share(lines) < 0.5 and not _is_bar(plain)
 
 
-BAR_LINE = re.compile(r"(?:\S \| \S.*){2}|(?:\S · \S.*){2}|(?:\S / \S.*){2}")
+def _is_bar(text: str) -> bool:
+    """Items parted by bars, dots or slashes."""
+    return text.count(" | ") > 1 or text.count(" · ") > 1 or text.count(" / ") > 1
 
 
 def _link_share(lines: list[str]) -> float:
     """The part of the visible text that is link text."""
     text = " ".join(lines)
+    if "](" not in text:
+        return 0.0
     return sum(len(m[1]) for m in LINK.finditer(text)) / max(1, len(_plain(text).strip(" *+-")))
 
 
@@ -106,7 +113,9 @@ def page_lines(markdown: str, site_words: tuple[str, ...] = (), title: str | Non
     def related(i: int) -> bool:
         """A list, bar or line that mainly links to other items or sections of the site."""
         joined = "\n".join(texts[i])
-        if kinds[i] == "text" and re.search(r"[.!?。！？][\"”»]?(?:\s|$)", LINK.sub("", joined)):
+        if "](" not in joined:
+            return False
+        if kinds[i] == "text" and SENTENCE_INSIDE.search(LINK.sub("", joined)):
             return False  # sentences beside the link
         return (len(ITEM_LINK.findall(joined)) + len(SECTION_LINK.findall(joined))) > 0 and _link_share(texts[i]) > 0.5
 
@@ -153,7 +162,9 @@ def page_lines(markdown: str, site_words: tuple[str, ...] = (), title: str | Non
         v, k = verdicts[i], kinds[i]
         if v == 3:
             # Short text: a byline right below the headline, else a line of the site.
-            if i == start + 1 and len(b) == 1 and len(b[0][1]) <= 60 and not BAR_LINE.search(b[0][1]) and not SITE_LINK.match(b[0][1]):
+            if i == start + 1 and len(b) == 1 and len(b[0][1]) <= 60 and not _is_bar(b[0][1]) and not SITE_LINK.match(b[0][1]):
+                v = 2
+            elif i < last and (SENTENCE_INSIDE.search(LINK.sub("", texts[i][0])) or len(texts[i][0]) >= 90 and not _is_bar(texts[i][0])) and not _has_site(texts[i], site_words):
                 v = 2
             elif i > last or _has_site(texts[i], site_words) or len(b) < 4 and not SENTENCE_END.search(texts[i][-1].rstrip()):
                 v = 1
