@@ -320,11 +320,11 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], share: float) -
                         checked = a + 20
                         region = ws[lo:hi]
                         here = set(region)
-                        if len(here & mine) < 0.4 * need or len(here & rare) < 0.1 * need:
+                        if len(here & mine) < 0.6 * need or len(here & rare) < 0.14 * need:
                             continue
                         covered, matched, x, y = chained_run(own, region)
                         found = covered >= need and matched >= 0.9 * covered
-                        if not found and len(here & mine) >= 0.5 * need and matched >= 0.4 * need:
+                        if not found and matched >= 0.4 * need:
                             # Too few equal words, but perhaps enough that differ by an edit.
                             found = best_run(own, region[max(0, x - 20) : y + 21]) >= need
                         if found:
