@@ -1,15 +1,416 @@
-"""Registered core queries."""
+"""Registered core queries: every operator over whole tables, and for those that SQL can express the SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkloom.functions import hints as H
 from inkloom.functions.normalize import normalized
+from inkloom.functions.tables import escaped_cell, pipe_table
+from inkloom.model import GENERIC, Options
+from inkloom.operators import assembly as A
+from inkloom.operators import registry as R
+from inkloom.plans.convert import convert, to_json_lines
+from inkloom.sources import textenc
+from inkloom.sources.engine import FORMATS, PLAIN_TEXT
+from inkloom.sources.pdf import NO_IMAGES, SCANNED
+from inkloom.sources.sniff import EXT_MIME, MIME_EXT, ZIP_MIMES
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# --- pieces of SQL -------------------------------------------------------------------------------------------------
+
+
+def _sql_normal(x: str) -> str:
+    x = rf"regexp_replace({x}, '\r\n?', chr(10), 'g')"
+    x = rf"regexp_replace({x}, '[ \t]+(\n|\z)', '\1', 'g')"
+    x = rf"trim(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10))"
+    return f"CASE WHEN {x} IS NULL THEN NULL WHEN {x} = '' THEN '' ELSE {x} || chr(10) END"
+
+
+_WS = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _sql_cell(x: str) -> str:
+    x = rf"replace(regexp_replace(coalesce({x}, ''), '\r\n|\r|\n', ' ', 'g'), '|', '\|')"
+    return rf"regexp_replace(regexp_replace({x}, '^{_WS}', ''), '{_WS}$', '')"
+
+
+def _sql_map(x: str, values: dict[str, str], other: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {other} END"
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]::VARCHAR[]"
+
+
+_REGISTRY = "(VALUES " + ", ".join(f"('{c.name}', {p}, {i}, {_sql_list(c.extensions)}, {_sql_list(c.mime_prefixes)}, {'NULL::BIGINT' if c.input_limit is None else f'{c.input_limit}::BIGINT'}, {str(c.is_fallback).lower()})" for i, (c, p) in enumerate([(PLAIN_TEXT, GENERIC), *FORMATS])) + ") r(name, priority, seq, extensions, prefixes, input_limit, is_fallback)"
+_EXT = r"coalesce(nullif(lower(extension), ''), nullif(lower(regexp_extract(coalesce(filename, ''), '(\.[^./]*)$', 1)), ''), '')"
+_HINTED = f"""h0 AS (SELECT *, {_EXT} AS e0 FROM stream_info),
+h1 AS (SELECT *, coalesce(nullif(mime_type, ''), nullif({_sql_map('e0', EXT_MIME, "''")}, ''), '') AS m FROM h0),
+h AS (SELECT *, coalesce(nullif(e0, ''), nullif({_sql_map('lower(m)', MIME_EXT, "''")}, ''), '') AS e FROM h1)"""
+_MATCH = "(list_contains(extensions, lower(e)) OR len(list_filter(prefixes, lambda p: starts_with(lower(m), p))) > 0)"
+_TAKES = f"({_MATCH} OR (is_fallback AND coalesce(charset, '') <> ''))"
+
+
+# --- normalisation, cells, tables (G, P) -----------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, " + _sql_normal("text") + " AS markdown FROM documents")
+def normalize_documents(spark, d):
+    return t(spark, d, "documents").select("doc_id", normalized("text").alias("markdown"))
+
+
+@query("SELECT result_id, " + _sql_normal("chr(10) || replace(replace(markdown, chr(10) || chr(10), ' ' || chr(9) || chr(13) || chr(10) || chr(13) || chr(10) || chr(10)), '. ', '.  ' || chr(13))") + " AS markdown FROM results")
+def normalize_roughened_results(spark, d):
+    """Results with line ends, blanks and blank lines of all kinds put in."""
+    rough = F.concat(F.lit("\n"), F.replace(F.replace("markdown", F.lit("\n\n"), F.lit(" \t\r\n\r\n\n")), F.lit(". "), F.lit(".  \r")))
+    return t(spark, d, "results").select("result_id", normalized(rough).alias("markdown"))
+
+
+@query("SELECT doc_id, " + _sql_cell("text") + " AS cell FROM documents")
+def escape_cell_documents(spark, d):
+    return t(spark, d, "documents").select("doc_id", escaped_cell("text").alias("cell"))
+
+
+@query("SELECT '| n_nationkey | n_name | n_regionkey |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation")
+def gfm_table_nation(spark, d):
+    return pipe_table(t(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
+
+
+@query("SELECT c_mktsegment, '| c_custkey | c_name | c_acctbal |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || CAST(c_acctbal AS DECIMAL(18,2)) || ' |', chr(10) ORDER BY c_custkey) || chr(10) AS markdown FROM customer GROUP BY c_mktsegment")
+def gfm_table_customer_segment(spark, d):
+    rows = t(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
+    return pipe_table(rows, ["c_custkey", "c_name", "c_acctbal"], ["c_custkey"], keys=["c_mktsegment"])
+
+
+@query("""WITH s AS (SELECT r_regionkey, r_name, '| nation |' || chr(10) || '| --- |' || chr(10) || string_agg('| ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS md FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT string_agg('## ' || r_name || chr(10) || chr(10) || md, chr(10) ORDER BY r_regionkey) AS markdown FROM s""")
+def workbook_sheets(spark, d):
+    """A sheet for each region, in order, a blank line between them."""
+    sheets = pipe_table(t(spark, d, "nation"), ["n_name"], ["n_nationkey"], ["nation"], ["n_regionkey"], "table")
+    named = t(spark, d, "region").join(sheets, F.col("r_regionkey") == F.col("n_regionkey"))
+    return A.joined_parts(named, [], A.sheet_section("r_name", "table"), "r_regionkey", "\n")
+
+
+@query("SELECT result_id, title, regexp_replace('data:text/plain;base64,' || coalesce(title, ''), '^(data:[^,]*,)[\\s\\S]*$', '\\1...') AS src FROM results")
+def truncate_data_uris(spark, d):
+    return t(spark, d, "results").select("result_id", "title", A.truncated_data_uri(F.concat(F.lit("data:text/plain;base64,"), F.coalesce("title", F.lit("")))).alias("src"))
+
+
+# --- grids (C, X) ----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row_no FROM documents WHERE text IS NOT NULL),
+c AS (SELECT doc_id, row_no, string_split(line, ' ') AS cells FROM l), w AS (SELECT doc_id, len(cells) AS n FROM c WHERE row_no = 0)
+SELECT doc_id, row_no::INT AS row_no, array_to_string(list_transform(range(n), lambda i: coalesce(cells[i + 1], '')), '|') AS cells FROM c JOIN w USING (doc_id)""")
+def csv_fit_header_width(spark, d):
+    """Lines as rows of words: each as wide as the document's first."""
+    rows = t(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line")).select("doc_id", "row_no", F.split("line", " ").alias("cells"))
+    return A.fitted_cells(rows, ["doc_id"]).select("doc_id", "row_no", F.array_join("cells", "|").alias("cells"))
+
+
+@query("""WITH c AS (SELECT stream_id, u.row, u.col, u.text FROM stream_info, LATERAL (SELECT unnest([{'row': 0, 'col': 0, 'text': coalesce(mime_type, '')}, {'row': 0, 'col': 2, 'text': coalesce(extension, '')}, {'row': 2, 'col': 1, 'text': coalesce(charset, '')}, {'row': 3, 'col': 3, 'text': coalesce(url, '')}]) AS u)),
+m AS (SELECT stream_id, max("row") AS rows, max("col") AS cols FROM c WHERE regexp_replace(text, '\\s+', '', 'g') <> '' GROUP BY 1),
+g AS (SELECT stream_id, r.v AS "row", k.v AS col FROM m, LATERAL (SELECT unnest(range(m.rows + 1)) AS v) r, LATERAL (SELECT unnest(range(m.cols + 1)) AS v) k),
+x AS (SELECT stream_id, "row", "col", max(text) AS text FROM c GROUP BY ALL)
+SELECT g.stream_id, g."row"::INT AS "row", string_agg(coalesce(x.text, ''), '|' ORDER BY g.col) AS cells FROM g LEFT JOIN x ON x.stream_id = g.stream_id AND x."row" = g."row" AND x."col" = g.col GROUP BY 1, 2""")
+def grid_pad_ragged(spark, d):
+    """Hints as cells of a sheet with gaps: blank rows and columns at the end dropped, ragged rows padded."""
+    at = [(0, 0, "mime_type"), (0, 2, "extension"), (2, 1, "charset"), (3, 3, "url")]
+    cells = t(spark, d, "stream_info").select("stream_id", F.explode(F.array(*[F.struct(F.lit(r).alias("row"), F.lit(c).alias("col"), F.coalesce(n, F.lit("")).alias("text")) for r, c, n in at])).alias("u")).select("stream_id", "u.*")
+    return A.normalized_grid(cells, ["stream_id"]).select("stream_id", "row", F.array_join("cells", "|").alias("cells"))
+
+
+# --- detection and registry (D, E, T) --------------------------------------------------------------------------------
+
+
+@query("SELECT name AS converter, priority, (row_number() OVER (ORDER BY priority, seq DESC))::INT AS rank FROM " + _REGISTRY)
+def registry_rank(spark, d):
+    return R.ranked(R.registry(spark)).select(F.col("name").alias("converter"), "priority", "rank")
+
+
+@query(f"WITH {_HINTED} SELECT stream_id, received_at, name AS converter, priority, rank FROM h, (SELECT *, (row_number() OVER (ORDER BY priority, seq DESC))::INT AS rank FROM {_REGISTRY}) WHERE {_TAKES}")
+def candidate_converters(spark, d):
+    streams = t(spark, d, "stream_info").withColumn("key", F.struct("stream_id", "received_at"))
+    return R.candidates(streams, R.registry(spark), "key").select("key.*", "converter", "priority", "rank")
+
+
+@query(f"WITH {_HINTED} SELECT stream_id, collection, received_at FROM h WHERE EXISTS (SELECT 1 FROM {_REGISTRY} WHERE NOT is_fallback AND {_MATCH})")
+def can_convert_streams(spark, d):
+    return R.can_convert(t(spark, d, "stream_info"), R.registry(spark)).select("stream_id", "collection", "received_at")
+
+
+@query(f"WITH {_HINTED} SELECT stream_id, received_at FROM h WHERE NOT EXISTS (SELECT 1 FROM {_REGISTRY} WHERE {_TAKES})")
+def unsupported_streams(spark, d):
+    return R.unsupported(t(spark, d, "stream_info"), R.registry(spark)).select("stream_id", "received_at")
+
+
+@query(f"WITH {_HINTED} SELECT stream_id, min(input_limit) AS input_limit FROM h LEFT JOIN {_REGISTRY} ON {_TAKES} GROUP BY 1")
+def smallest_input_limit(spark, d):
+    return R.smallest_limits(t(spark, d, "stream_info"), R.registry(spark), "stream_id")
+
+
+@query(f"WITH {_HINTED} SELECT h.stream_id, received_at FROM h WHERE n_bytes <= (SELECT min(input_limit) FROM {_REGISTRY} WHERE {_TAKES})")
+def streams_within_limit(spark, d):
+    """Streams small enough for the strictest of their converters, by the size column alone."""
+    streams = t(spark, d, "stream_info")
+    return streams.join(R.smallest_limits(streams, R.registry(spark), "stream_id"), "stream_id").where("n_bytes <= input_limit").select("stream_id", "received_at")
+
+
+@query("SELECT stream_id, received_at, " + _sql_map("lower(extension)", EXT_MIME, "''") + " AS mime_of_ext, " + _sql_map("lower(mime_type)", MIME_EXT, "''") + " AS ext_of_mime FROM stream_info")
+def extension_and_mime(spark, d):
+    return t(spark, d, "stream_info").select("stream_id", "received_at", H.mime_of_extension("extension").alias("mime_of_ext"), H.extension_of_mime("mime_type").alias("ext_of_mime"))
+
+
+_TEXT_LIKE = "(lower(m) LIKE 'text/%' OR lower(m) LIKE 'application/xhtml%' OR lower(m) IN ('application/json', 'application/markdown', 'application/xml', 'application/csv') OR lower(m) LIKE '%+json' OR lower(m) LIKE '%+xml')"
+_OOXML = "starts_with(m, 'application/vnd.openxmlformats-officedocument.')"
+
+
+@query(f"WITH {_HINTED} SELECT stream_id, received_at, {_TEXT_LIKE} AS text_like, {_OOXML} AS ooxml, lower(m) IN {tuple(ZIP_MIMES)} AS zip FROM h")
+def media_type_tests(spark, d):
+    s = R.completed(t(spark, d, "stream_info"))
+    return s.select("stream_id", "received_at", H.text_like("__mime").alias("text_like"), H.ooxml("__mime").alias("ooxml"), H.zip_type("__mime").alias("zip"))
+
+
+_FOUND = "CASE WHEN converter IN ('html', 'csv', 'plaintext') THEN 'text/plain' WHEN converter = 'pdf' THEN 'application/pdf' ELSE 'application/zip' END"
+
+
+@query(f"""WITH {_HINTED}, f AS (SELECT stream_id, max(converter) AS converter FROM results GROUP BY 1), g AS (SELECT h.*, {_FOUND} AS found FROM h JOIN f USING (stream_id))
+SELECT stream_id, received_at, CASE WHEN m = '' OR lower(m) = found OR ({_OOXML} AND found = 'application/zip') OR ({_TEXT_LIKE} AND starts_with(found, 'text/')) THEN 1 ELSE 2 END AS n_guesses FROM g""")
+def guess_counts(spark, d):
+    """How many interpretations a stream gets when its content is of the kind that its converter reads."""
+    found = t(spark, d, "results").groupBy("stream_id").agg(F.max("converter").alias("converter")).select("stream_id", F.expr(_FOUND).alias("found"))
+    joined = R.completed(t(spark, d, "stream_info")).join(found, "stream_id")
+    return joined.select("stream_id", "received_at", R.guess_count(joined, "found").alias("n_guesses"))
+
+
+@query("SELECT stream_id, received_at, " + _sql_map("lower(trim(coalesce(charset, '')))", textenc.ALIASES, "lower(trim(coalesce(charset, '')))") + " AS charset FROM stream_info")
+def charset_names(spark, d):
+    return t(spark, d, "stream_info").select("stream_id", "received_at", H.canonical_charset("charset").alias("charset"))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY received_at, n_bytes, coalesce(filename, ''), coalesce(charset, ''), coalesce(mime_type, ''), coalesce(extension, ''), coalesce(url, ''), coalesce(local_path, '')) AS n FROM stream_info)
+SELECT a.stream_id, """ + ", ".join(f"coalesce(nullif(a.{n}, ''), nullif(b.{n}, ''), '') AS {n}" for n in ("mime_type", "extension", "charset", "filename")) + " FROM k a LEFT JOIN k b ON b.stream_id = a.stream_id AND b.n = 2 WHERE a.n = 1")
+def hints_filled_from_repeat(spark, d):
+    """A stream's first row, its empty hints filled from its second."""
+    from pyspark.sql import Window
+
+    names = ["mime_type", "extension", "charset", "filename"]
+    order = ["received_at", "n_bytes", *[F.coalesce(c, F.lit("")) for c in ("filename", "charset", "mime_type", "extension", "url", "local_path")]]
+    k = t(spark, d, "stream_info").select("stream_id", F.struct(*names).alias("h"), F.row_number().over(Window.partitionBy("stream_id").orderBy(*order)).alias("n"))
+    both = k.where("n <= 2").groupBy("stream_id").agg(F.max_by("h", F.when(F.col("n") == 1, 1)).alias("a"), F.max_by("h", F.when(F.col("n") == 2, 1)).alias("b"))
+    return both.select("stream_id", R.merged_hints("a", "b", names).alias("x")).select("stream_id", "x.*")
+
+
+@query(r"SELECT stream_id, received_at, lower(regexp_extract(trim(coalesce(url, '')), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) IN ('', 'http', 'https', 'file', 'mailto') AS safe FROM stream_info")
+def url_scheme_safe(spark, d):
+    return t(spark, d, "stream_info").select("stream_id", "received_at", H.safe_link("url").alias("safe"))
+
+
+# --- limits and errors (E, G) ----------------------------------------------------------------------------------------
+
+
+@query("SELECT result_id, octet_length(encode(markdown)) AS n_bytes, CASE WHEN octet_length(encode(markdown)) > 4000 THEN 'RESULT_TOO_LARGE' END AS code FROM results")
+def result_limit_status(spark, d):
+    return t(spark, d, "results").select("result_id", F.octet_length("markdown").cast("long").alias("n_bytes"), A.result_status("markdown", 4000).alias("code"))
+
+
+@query("SELECT stream_id, 'conversion failed after ' || count(*) || ' attempt(s):' || string_agg(chr(10) || '  ' || converter || ': ' || coalesce(error_code, ''), '' ORDER BY result_id) AS message FROM results WHERE error_code IS NOT NULL GROUP BY 1")
+def failure_messages(spark, d):
+    failed = t(spark, d, "results").where("error_code is not null").select("stream_id", F.col("result_id").alias("attempt_no"), "converter", F.col("error_code").alias("message"))
+    return A.failure_text(failed, ["stream_id"])
+
+
+# --- warnings (G, Z) -------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY seq, code, location NULLS FIRST, message) AS k FROM warnings)
+SELECT result_id, count(*) AS n, string_agg(CASE WHEN k = 256 THEN 'incomplete||additional warnings suppressed' ELSE code || '|' || coalesce(location, '') || '|' || message END, chr(10) ORDER BY k) AS warnings FROM n WHERE k <= 256 GROUP BY 1""")
+def warnings_cap_256(spark, d):
+    out = A.bounded_warnings(t(spark, d, "warnings"), ["result_id"], "seq")
+    line = F.transform("warnings", lambda w: F.concat_ws("|", w["code"], w["location"], w["message"]))
+    return out.select("result_id", F.size("warnings").cast("long").alias("n"), F.array_join(line, "\n").alias("warnings"))
+
+
+@query("SELECT result_id, seq, CASE WHEN coalesce(converter, '') = '' THEN message WHEN coalesce(location, '') = '' THEN converter || ': ' || message ELSE converter || ': ' || location || ': ' || message END AS text FROM warnings")
+def warning_texts(spark, d):
+    return t(spark, d, "warnings").select("result_id", "seq", A.warning_text().alias("text"))
+
+
+@query("SELECT result_id, seq, CASE WHEN coalesce(location, '') = '' THEN collection ELSE collection || ': ' || location END AS location FROM warnings")
+def relocate_warnings(spark, d):
+    return t(spark, d, "warnings").select("result_id", "seq", A.relocated("location", "collection").alias("location"))
+
+
+# --- archives (Z) ----------------------------------------------------------------------------------------------------
+
+_BASE = r"regexp_replace(name, '^.*/', '')"
+_SILENT = rf"(is_dir OR starts_with(name, '__MACOSX/') OR starts_with({_BASE}, '.'))"
+_NESTED = rf"lower({_BASE}) LIKE '%.zip'"
+
+
+@query(f"SELECT stream_id, entry_no, CASE WHEN {_SILENT} THEN 'silent' WHEN {_NESTED} THEN 'nested' WHEN encrypted THEN 'encrypted' WHEN coalesce(uncompressed_size, 0) > 10485760 THEN 'too large' ELSE 'member' END AS kind FROM zip_member")
+def archive_member_kinds(spark, d):
+    kind = F.when(F.expr(_SILENT.replace("starts_with", "startswith")), "silent").when(F.expr(_NESTED), "nested").when(F.col("encrypted"), "encrypted").when(F.coalesce("uncompressed_size", F.lit(0)) > 10485760, "too large").otherwise("member")
+    return t(spark, d, "zip_member").select("stream_id", "entry_no", kind.alias("kind"))
+
+
+@query(f"SELECT stream_id, string_agg(chr(10) || '## File: ' || name || chr(10) || chr(10) || coalesce(uncompressed_size, 0) || ' bytes' || chr(10), '' ORDER BY entry_no, name) AS markdown FROM zip_member WHERE NOT {_SILENT} GROUP BY 1")
+def archive_sections(spark, d):
+    members = t(spark, d, "zip_member").where(~F.expr(_SILENT.replace("starts_with", "startswith")))
+    text = A.file_section("name", F.concat(F.coalesce("uncompressed_size", F.lit(0)).cast("string"), F.lit(" bytes")))
+    return A.joined_parts(members.withColumn("at", F.struct("entry_no", "name")), ["stream_id"], text, "at", "")
+
+
+@query("""WITH n AS (SELECT result_id, collection, coalesce(sum((error_code IS NULL)::INT) OVER (PARTITION BY collection ORDER BY result_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM results)
+SELECT result_id, collection FROM n WHERE k < 64""")
+def member_cap_64(spark, d):
+    return A.first_members(t(spark, d, "results"), ["collection"], ["result_id"], F.col("error_code").isNull(), 64).select("result_id", "collection")
+
+
+@query("""WITH p AS (SELECT DISTINCT result_id, page_no, text FROM pdf_page), n AS (SELECT *, sum(coalesce(octet_length(encode(text)), 0)) OVER (PARTITION BY result_id ORDER BY page_no, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS bytes_so_far FROM p)
+SELECT result_id, page_no, bytes_so_far::BIGINT AS bytes_so_far FROM n WHERE bytes_so_far <= 4000""")
+def byte_budget_running(spark, d):
+    pages = t(spark, d, "pdf_page").select("result_id", "page_no", "text").distinct()
+    kept = A.within_budget(pages, ["result_id"], ["page_no", "text"], "text", 4000)
+    return A.running_bytes(kept, ["result_id"], ["page_no", "text"], "text").select("result_id", "page_no", F.col("bytes_so_far").cast("long").alias("bytes_so_far"))
+
+
+# --- pages (F, O) ----------------------------------------------------------------------------------------------------
+
+_PAGES = "(SELECT result_id, page_no, max(coalesce(text, '')) AS text, max(coalesce(ocr_glyphs, 0)) AS ocr_glyphs, max(image_count) AS image_count, max(n_glyphs) AS n_glyphs FROM pdf_page GROUP BY 1, 2)"
+
+
+@query(f"SELECT result_id, string_agg(CASE WHEN ocr_glyphs > 0 THEN '<!-- inkloom: page ' || page_no || ' includes OCR text -->' || chr(10) || chr(10) ELSE '' END || text, chr(10) || chr(10) ORDER BY page_no) AS markdown FROM {_PAGES} WHERE text <> '' GROUP BY 1")
+def page_documents(spark, d):
+    return A.page_documents(t(spark, d, "pdf_page"), ["result_id"])
+
+
+def _pages(spark, d):
+    return t(spark, d, "pdf_page").groupBy("result_id", "page_no").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"), F.max("image_count").alias("image_count"), F.max("n_glyphs").alias("n_glyphs"), F.max(F.coalesce("ocr_glyphs", F.lit(0))).alias("ocr_glyphs"))
+
+
+@query(f"SELECT result_id, page_no, CASE WHEN coalesce(image_count, 0) > 0 THEN '{SCANNED}' ELSE '{NO_IMAGES}' END AS message FROM {_PAGES} WHERE text = ''")
+def page_warnings(spark, d):
+    return _pages(spark, d).select("result_id", "page_no", A.page_warning(True).alias("message")).where("message is not null")
+
+
+@query(f"SELECT result_id, page_no FROM {_PAGES} WHERE text = '' OR (coalesce(n_glyphs, 0) < 50 AND coalesce(image_count, 0) > 0)")
+def page_select_thin(spark, d):
+    return _pages(spark, d).where(A.thin_page(Options(ocr_policy="thin").glyph_floor)).select("result_id", "page_no")
+
+
+@query(f"SELECT result_id, page_no, k AS ocr_no, k > 3 AS refused, k = 4 AS first_refusal FROM (SELECT *, (row_number() OVER (PARTITION BY result_id ORDER BY page_no))::INT AS k FROM {_PAGES} WHERE image_count > 0)")
+def ocr_page_budget(spark, d):
+    return A.ocr_budget(_pages(spark, d), ["result_id"], F.col("image_count") > 0, 3).select("result_id", "page_no", "ocr_no", "refused", "first_refusal")
+
+
+# --- slides, charts, lookups (S, W) ----------------------------------------------------------------------------------
+
+
+@query("""WITH b AS (SELECT doc_id, generate_subscripts(boxes, 1) - 1 AS seq, unnest(boxes) AS b FROM documents WHERE boxes IS NOT NULL)
+SELECT doc_id, seq::INT AS seq, (row_number() OVER (PARTITION BY doc_id ORDER BY b.y0 NULLS FIRST, b.x0 NULLS FIRST, seq))::INT AS position FROM b""")
+def reading_order(spark, d):
+    """Boxes by position, as shapes on a slide are."""
+    items = t(spark, d, "documents").select("doc_id", F.posexplode("boxes").alias("seq", "b")).select("doc_id", "seq", F.col("b.y0").alias("y"), F.col("b.x0").alias("x"))
+    return A.reading_order(items, ["doc_id"]).select("doc_id", "seq", "position")
+
+
+@query("""WITH v AS (SELECT c_nationkey AS idx, 'customers' AS s, count(*)::VARCHAR AS value FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey + 3, 'suppliers', count(*)::VARCHAR FROM supplier GROUP BY 1)
+SELECT coalesce(c.idx, v.idx) AS idx, coalesce(any_value(c.n_name), '') AS category, coalesce(max(value) FILTER (s = 'customers'), '') AS customers, coalesce(max(value) FILTER (s = 'suppliers'), '') AS suppliers
+FROM (SELECT n_nationkey AS idx, n_name FROM nation) c FULL JOIN v ON v.idx = c.idx GROUP BY 1""")
+def chart_full_outer(spark, d):
+    """Two series over nations, one of them shifted, so that both sides have points of their own."""
+    cats = t(spark, d, "nation").select(F.col("n_nationkey").alias("idx"), F.col("n_name").alias("category"))
+    a = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("idx")).agg(F.count("*").cast("string").alias("value")).withColumn("series_name", F.lit("customers"))
+    b = t(spark, d, "supplier").groupBy((F.col("s_nationkey") + 3).alias("idx")).agg(F.count("*").cast("string").alias("value")).withColumn("series_name", F.lit("suppliers"))
+    return A.chart_table(cats, a.unionByName(b), ["customers", "suppliers"])
+
+
+_STYLES = [("Title", "Title", "", -1), ("H1", "heading 1", "Normal", -1), ("Sub", "Section head", "H1", -1), ("Deep", "Deep", "Sub", -1), ("Out", "Outlined", "Normal", 3), ("Normal", "Normal", "", -1), ("A", "a", "B", -1), ("B", "b", "A", -1), ("Heading7", "x", "", -1)]
+_STYLE_ROWS = ", ".join(f"('{a}', '{b}', '{c}', {n})" for a, b, c, n in _STYLES)
+
+
+@query(f"""WITH RECURSIVE s(style_id, name, based_on, lvl) AS (VALUES {_STYLE_ROWS}),
+o AS (SELECT style_id, based_on, CASE WHEN lower(style_id) = 'title' THEN 1 WHEN regexp_matches(lower(style_id), '^heading ?[1-9]$') THEN right(style_id, 1)::INT WHEN lower(name) = 'title' THEN 1 WHEN regexp_matches(lower(name), '^heading ?[1-9]$') THEN right(name, 1)::INT WHEN lvl BETWEEN 0 AND 8 THEN lvl + 1 END AS own FROM s),
+c(style_id, level, nxt, hops) AS (SELECT style_id, own, based_on, 0 FROM o UNION ALL SELECT c.style_id, o.own, o.based_on, hops + 1 FROM c JOIN o ON o.style_id = c.nxt WHERE c.level IS NULL AND hops < 10)
+SELECT style_id, coalesce(max(level), 0) AS level FROM c GROUP BY 1""")
+def style_chain(spark, d):
+    return A.heading_levels(spark.createDataFrame(_STYLES, "style_id string, name string, based_on string, outline_lvl int"))
+
+
+_NUMBERS, _LEVELS = [("1", "10"), ("2", "20"), ("3", "99")], [("10", "0", "bullet"), ("10", "1", "decimal"), ("20", "0", "lowerRoman")]
+_PARAS = [(i, n, v) for i, (n, v) in enumerate([("1", "0"), ("1", "1"), ("1", "2"), ("2", "0"), ("3", "0"), ("0", "0"), ("", "0"), (None, "0"), ("7", "0")])]
+
+
+@query(f"""WITH p(para, num_id, ilvl) AS (VALUES {', '.join(f"({i}, {'NULL' if n is None else repr(n)}, '{v}')" for i, n, v in _PARAS)}), n(num_id, abstract_id) AS (VALUES {', '.join(map(str, _NUMBERS))}), l(abstract_id, ilvl, fmt) AS (VALUES {', '.join(map(str, _LEVELS))})
+SELECT para, p.num_id, p.ilvl, CASE WHEN coalesce(p.num_id, '') IN ('', '0') OR NOT EXISTS (SELECT 1 FROM l x WHERE x.abstract_id = n.abstract_id) THEN NULL WHEN coalesce(fmt, 'bullet') = 'bullet' THEN 'bullet' ELSE 'ordered' END AS kind
+FROM p LEFT JOIN n ON n.num_id = p.num_id LEFT JOIN l ON l.abstract_id = n.abstract_id AND l.ilvl = p.ilvl""")
+def list_kind(spark, d):
+    return A.list_kinds(spark.createDataFrame(_PARAS, "para int, num_id string, ilvl string"), spark.createDataFrame(_NUMBERS, "num_id string, abstract_id string"), spark.createDataFrame(_LEVELS, "abstract_id string, ilvl string, num_fmt string")).select("para", "num_id", "ilvl", "kind")
+
+
+@query("SELECT l.stream_id, l.rel_id, r.href FROM (SELECT DISTINCT stream_id, collection AS rel_id FROM stream_info) l LEFT JOIN (SELECT collection, min(url) AS href FROM stream_info WHERE url <> '' GROUP BY 1) r ON r.collection = l.rel_id")
+def rel_lookup(spark, d):
+    """Links to external targets; the relationships of a collection are its urls."""
+    s = t(spark, d, "stream_info")
+    rels = s.where("url <> ''").groupBy(F.col("collection").alias("id")).agg(F.min("url").alias("target")).withColumn("external", F.lit(True))
+    return A.external_links(s.select("stream_id", F.col("collection").alias("rel_id")).distinct(), rels).select("stream_id", "rel_id", "href")
+
+
+# --- whole conversions -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, " + _sql_normal("text") + " AS markdown, '' AS title, 'plaintext' AS converter FROM documents WHERE text IS NOT NULL")
+def convert_plain_text(spark, d):
+    """The engine over the documents as .txt streams."""
+    src = t(spark, d, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("content"), F.lit(".txt").alias("extension"))
+    return convert(src).select("doc_id", "markdown", "title", "converter")
+
+
+@query("SELECT c_mktsegment, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey) || chr(10) AS markdown, 'csv' AS converter FROM customer GROUP BY 1")
+def convert_csv(spark, d):
+    """The engine over one CSV stream for each market segment."""
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('"'))
+    text = t(spark, d, "customer").groupBy("c_mktsegment").agg(F.concat(F.lit("key,name\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), "\n")).alias("text"))
+    return convert(text.select("c_mktsegment", F.encode("text", "UTF-8").alias("content"), F.lit(".csv").alias("extension"))).select("c_mktsegment", "markdown", "converter")
+
+
+@query("""SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '**' || r_name || '** is the region' || chr(10) || chr(10) || '- key ' || n_nationkey || chr(10) || '- region ' || n_regionkey || chr(10) AS markdown, n_name AS title, 'html' AS converter FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def convert_html(spark, d):
+    """The engine over one small page for each nation."""
+    page = F.concat(F.lit("<!DOCTYPE html><html><head><title> "), "n_name", F.lit(" </title><script>x()</script></head><body><h1>"), "n_name", F.lit("</h1><p><b>"), "r_name", F.lit("</b> is\n the region<ul><li>key "), F.col("n_nationkey").cast("string"), F.lit("<li>region "), F.col("n_regionkey").cast("string"), F.lit("</ul><div hidden>no</div></body></html>"))
+    src = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.encode(page, "UTF-8").alias("content"), F.lit("text/html").alias("mime_type"))
+    return convert(src).select("n_nationkey", "markdown", "title", "converter")
 
 
-def normalize_documents(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", normalized("text").alias("markdown"))
+@query()
+def convert_zip_members(spark, d):
+    """The engine over the raw members of archives, in many charsets; members without bytes are left out."""
+    src = t(spark, d, "zip_member").where("content is not null").select("stream_id", "entry_no", "name", "content", H.extension_of("name").alias("extension"), F.element_at(F.split("name", "/"), -1).alias("filename"))
+    return convert(src)
 
 
-QUERIES = {"normalize_documents": normalize_documents}
-SQL = {}
+@query()
+def json_lines_of_members(spark, d):
+    return to_json_lines(convert_zip_members(spark, d))
