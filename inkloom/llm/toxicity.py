@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from inkloom.llm.confusions import skeleton
 from inkloom.llm.leaks import _columns, page_texts
 
-MAX_LABELLED, MAX_UNLABELLED = 6_000, 3_000
+MAX_LABELLED, MAX_UNLABELLED = 4_000, 3_000
 ROUNDS, EPOCHS, RATE, L2 = 3, 120, 0.05, 3e-5
 #: A feature speaks for the class when it is on so many times the expected number of pages, and the logarithm of
 #: the chance (Poisson) of that many pages is below this.
 RATIO, CHANCE = 5.0, -9.5
 #: Thresholds found on held-out pages are not taken below this logit.
-FLOOR = 1.5
+FLOOR = 2.5
 NUMBER = re.compile(r"(?<!\w)[£$€]?\d[\d,.]*(?:st|nd|rd|th|s|d)?(?!\w)")
 SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
@@ -78,7 +78,6 @@ class Model:
     def __init__(self, weights: dict[str, float], bias: float, threshold: float = 0.0):
         self.weights, self.bias, self.threshold = weights, bias, threshold
         self.speaking: frozenset[str] = frozenset()
-        self.shown = 0.0
         self.single = {k: v for k, v in weights.items() if " " not in k}
 
     def score(self, words: list[str]) -> float:
@@ -146,52 +145,52 @@ def fit_nnpu(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarr
 Page = list[set[str]]
 
 
-def page_features(texts: list[str]) -> list[Page]:
-    return [[features(w) for w in windows(t)] for t in texts]
-
-
-def train(positives: list[Page], unlabelled: list[Page]) -> Model | None:
-    """A model from the windows' features of confirmed toxic pages and of unlabelled ones."""
-    pages = [p for p in positives if p]
-    unl = [r for p in unlabelled for r in p]
-    if not pages or not unl:
-        return None
-    in_pos = Counter(f for p in pages for f in set().union(*p))
-    on_unl = Counter(f for p in unlabelled if p for f in set().union(*p))
-    n_pages, n_unl = len(pages), len(unlabelled)
-    # Features that speak for the class: on far more of its pages than chance would have it.
-    speaks: dict[str, float] = {}
+def speaking_features(positives: list[str], unlabelled: list[str]) -> dict[str, float]:
+    """Features on far more pages of the class than chance would have it, with the log of the excess."""
+    in_pos = Counter(f for t in positives for f in set().union(*map(features, windows(t))))
+    in_pos = Counter({f: n for f, n in in_pos.items() if n >= 3})
+    on_unl = Counter(f for t in unlabelled for f in set().union(*map(features, windows(t))) if f in in_pos)
+    out: dict[str, float] = {}
     for f, n in in_pos.items():
-        rate = (on_unl[f] + 0.5) / n_unl
-        expected = n_pages * rate
+        expected = len(positives) * (on_unl[f] + 0.5) / max(1, len(unlabelled))
         if n > RATIO * expected and n * math.log(expected) - expected - math.lgamma(n + 1) < CHANCE:
-            speaks[f] = float(np.log(n / expected))
-    if not speaks:
+            out[f] = math.log(n / expected)
+    return out
+
+
+def shown_windows(texts: list[str], speaks) -> list[Page]:
+    """The features of the windows that hold any speaking feature, by page; the others are never a case."""
+    return [[r for r in map(features, windows(t)) if not speaks.isdisjoint(r)] for t in texts]
+
+
+def train(positives: list[Page], unlabelled: list[Page], speaks: dict[str, float]) -> Model | None:
+    """A model from the shown windows of confirmed toxic pages and of unlabelled ones."""
+    keys = speaks.keys()
+    pages = [p for p in ([r for r in p if not keys.isdisjoint(r)] for p in positives) if p]
+    rows = [r for p in unlabelled for r in p if not keys.isdisjoint(r)]
+    if not pages or not rows:
         return None
     value = [[sum(sorted((speaks[f] for f in r if f in speaks), reverse=True)[:5]) for r in p] for p in pages]
     # Words beside them tell a use of them from a report, a defence or a trade: context of both sets is kept.
-    beside = Counter(f for r in unl if not speaks.keys().isdisjoint(r) for f in r)
-    beside.update(f for p in pages for r in p if not speaks.keys().isdisjoint(r) for f in r)
+    beside = Counter(f for r in rows for f in r)
+    beside.update(f for p in pages for r in p for f in r)
     index = {f: i for i, f in enumerate(dict.fromkeys([*speaks, *(f for f, n in beside.items() if n >= 6)]))}
-    rows = [r for r in unl if not speaks.keys().isdisjoint(r)]
     data_unl = _sparse(rows, index)
-    # Windows without any speaking feature are one and the same to the risk: never a case.
-    share_shown = len(rows) / max(1, len(unl))
     prior, w, bias = 0.1, None, 0.0
     for turn in range(ROUNDS):
         chosen = []
         if turn:
-            value = [[x if not speaks.keys().isdisjoint(r) else -99.0 for r, x in zip(p, _logits(_sparse(p, index), w, bias))] for p in pages]
+            value = [_logits(_sparse(p, index), w, bias).tolist() for p in pages]
         for p, v in zip(pages, value):
             top = max(v)
             if top > 0:  # a page without any is most likely labelled wrongly
                 chosen.extend(r for r, x in zip(p, v) if x == top or x > 0.6 * top)
-        if not chosen or not rows:
+        if not chosen:
             return None
         w, bias = fit_nnpu(_sparse(chosen, index), data_unl, len(index), prior)
         prior = min(0.6, max(0.01, float(np.mean(_logits(data_unl, w, bias) > 0))))
     model = Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, bias)
-    model.speaking, model.shown = frozenset(speaks), share_shown
+    model.speaking = frozenset(speaks)
     return model
 
 
@@ -218,17 +217,23 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     unlabelled = [t for b in sample.toArrow().to_batches() for i, t in zip(b.column(0).to_pylist(), page_texts(b), strict=True) if i not in with_label]
     pos = [k for k, y in labelled.items() if y and k in with_label]
     neg = [k for k, y in labelled.items() if not y and k in with_label]
-    shown = {k: page_features([with_label[k]])[0] for k in (*pos, *neg)}
-    others = page_features(unlabelled)
-    # The threshold from documents that the scoring model has not seen: two halves.
+    return fit_texts([with_label[k] for k in pos], [with_label[k] for k in neg], unlabelled)
+
+
+def fit_texts(pos: list[str], neg: list[str], unlabelled: list[str]) -> Model | None:
+    """The model with its threshold, which is taken from documents that the scoring model has not seen: two halves."""
+    part = lambda x, half: [t for i, t in enumerate(x) if i % 2 != half]
+    sets = [speaking_features(part(pos, h), unlabelled + part(neg, h)) for h in (0, 1)] + [speaking_features(pos, unlabelled + neg)]
+    union = frozenset().union(*sets)
+    pages, others, against = (shown_windows(x, union) for x in (pos, unlabelled, neg))
     held: list[tuple[float, bool]] = []
     for half in (0, 1):
-        model = train([shown[k] for i, k in enumerate(pos) if i % 2 != half], others + [shown[k] for i, k in enumerate(neg) if i % 2 != half])
+        model = train(part(pages, half), others + part(against, half), sets[half])
         if model:
-            held += [(model.document(with_label[k]), y) for own, y in ((pos, True), (neg, False)) for i, k in enumerate(own) if i % 2 == half]
-    model = train([shown[k] for k in pos], others + [shown[k] for k in neg])
-    if model and held:
-        model.threshold = max(best_threshold(held), FLOOR)
+            held += [(model.document(t), y) for own, y in ((pos, True), (neg, False)) for i, t in enumerate(own) if i % 2 == half]
+    model = train(pages, others + against, sets[2])
+    if model:
+        model.threshold = max(best_threshold(held), FLOOR) if held else FLOOR
     return model
 
 
