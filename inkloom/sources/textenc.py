@@ -13,6 +13,8 @@ MULTI_BYTE = ["shift_jis", "euc-jp", "euc-kr", "big5", "gbk", "gb18030"]
 WIDER = {"shift_jis": "cp932", "euc-kr": "cp949", "big5": "cp950", "windows-1252": "cp1252"}
 CJK = re.compile("[⺀-鿿豈-﫿＀-￯]")
 KANA_HANGUL = re.compile("[぀-ヿ가-힯]")
+#: Very frequent signs of each language in its charset; proper text has some of them. Fixed values.
+FREQUENT = {"gbk": "的一是不了在人有我他这个中大来上国文本件为到说们", "gb18030": "的一是不了在人有我他这个中大来上国文本件为到说们", "big5": "的一是不了在人有我他這個中大來上國文本件為到說們"}
 BOMS = [(b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")]
 
 
@@ -55,9 +57,16 @@ def detect(prefix: bytes) -> str:
         found = len(CJK.findall(text)) + len(KANA_HANGUL.findall(text))
         if not CJK.search(text):
             continue
+        runs = re.findall("[A-Za-z]?[^\x00-\x7f]+[A-Za-z]?", text)
+        if 2 * sum(r[0].isascii() or r[-1].isascii() for r in runs) > len(runs):
+            continue  # single signs among Latin letters: accents of a single-byte charset
         # Common signs speak for a charset; half-width kana and private signs against it.
         odd = len(re.findall("[｡-ﾟ-]", text)) + len(re.findall("[^\x00-\x7f⺀-鿿가-힯豈-﫿＀-￯　-〿]", text))
-        score = (found + 2 * len(KANA_HANGUL.findall(text)) - 3 * odd) / max(1, len(text))
+        script = len(KANA_HANGUL.findall(text))
+        if name == "euc-kr" and 2 * script < len(CJK.findall(text)):
+            continue  # Korean is mainly Hangul
+        common = sum(map(text.count, FREQUENT.get(name, "")))
+        score = (3 * common + found + 2 * len(KANA_HANGUL.findall(text)) - 3 * odd) / max(1, len(text))
         if best is None or score > best[0] + 1e-9:
             best = (score, rank, name)
     if best and best[0] > 0:
