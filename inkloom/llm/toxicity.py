@@ -168,8 +168,9 @@ def train(positives: list[Page], unlabelled: list[Page], speaks: dict[str, float
     keys = speaks.keys()
     pages = [p for p in ([r for r in p if not keys.isdisjoint(r)] for p in positives) if p]
     rows = [r for p in unlabelled for r in p if not keys.isdisjoint(r)]
-    if not pages or not rows:
+    if not pages:
         return None
+    rows = rows or [set()]
     value = [[sum(sorted((speaks[f] for f in r if f in speaks), reverse=True)[:5]) for r in p] for p in pages]
     # Words beside them tell a use of them from a report, a defence or a trade: context of both sets is kept.
     beside = Counter(f for r in rows for f in r)
