@@ -6,7 +6,7 @@ positives, windows of a sample of all pages the unlabelled set. A linear classif
 trained in numpy on the class-prior-corrected non-negative risk, the positives are chosen again with it, and
 the prior is taken from its own predictions. A document's score is that of its highest window.
 
-Bounded samples, both parameters: at most MAX_LABELLED labelled and MAX_UNLABELLED other documents are used for
+Bounded samples, both parameters: about MAX_LABELLED labelled and MAX_UNLABELLED other documents are used for
 fitting; every document is scored, whole.
 
 Defined results: null, empty and blank texts score 0 and are no cases; a document with differing labels counts as
@@ -33,8 +33,10 @@ ROUNDS, EPOCHS, RATE, L2 = 3, 120, 0.05, 3e-5
 #: A feature speaks for the class when it is on so many times the expected number of pages, and the logarithm of
 #: the chance (Poisson) of that many pages is below this.
 RATIO, CHANCE = 5.0, -9.5
-#: Thresholds found on held-out pages are not taken below this logit.
-FLOOR = 2.5
+#: How much of the best F1 on held-out pages may be given up for a higher threshold.
+SLACK = 0.012
+#: A threshold is not taken below this share of the usual score of confirmed pages.
+LEAST_SHARE = 0.33
 NUMBER = re.compile(r"(?<!\w)[£$€]?\d[\d,.]*(?:st|nd|rd|th|s|d)?(?!\w)")
 SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
@@ -145,15 +147,21 @@ def fit_nnpu(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarr
 Page = list[set[str]]
 
 
-def speaking_features(positives: list[str], unlabelled: list[str]) -> dict[str, float]:
+def page_counts(texts: list[str], only=None) -> Counter:
+    """On how many pages each feature is; of all features or only of those given."""
+    out: Counter = Counter()
+    for t in texts:
+        seen = set().union(*map(features, windows(t)))
+        out.update(seen if only is None else seen & only)
+    return out
+
+
+def speaking_features(in_pos: Counter, n_pos: int, on_unl: Counter, n_unl: int) -> dict[str, float]:
     """Features on far more pages of the class than chance would have it, with the log of the excess."""
-    in_pos = Counter(f for t in positives for f in set().union(*map(features, windows(t))))
-    in_pos = Counter({f: n for f, n in in_pos.items() if n >= 3})
-    on_unl = Counter(f for t in unlabelled for f in set().union(*map(features, windows(t))) if f in in_pos)
     out: dict[str, float] = {}
     for f, n in in_pos.items():
-        expected = len(positives) * (on_unl[f] + 0.5) / max(1, len(unlabelled))
-        if n > RATIO * expected and n * math.log(expected) - expected - math.lgamma(n + 1) < CHANCE:
+        expected = n_pos * (on_unl[f] + 0.5) / max(1, n_unl)
+        if n >= 3 and n > RATIO * expected and n * math.log(expected) - expected - math.lgamma(n + 1) < CHANCE:
             out[f] = math.log(n / expected)
     return out
 
@@ -177,7 +185,7 @@ def train(positives: list[Page], unlabelled: list[Page], speaks: dict[str, float
     beside.update(f for p in pages for r in p for f in r)
     index = {f: i for i, f in enumerate(dict.fromkeys([*speaks, *(f for f, n in beside.items() if n >= 6)]))}
     data_unl = _sparse(rows, index)
-    prior, w, bias = 0.1, None, 0.0
+    prior, w, bias, last, used = 0.1, None, 0.0, [], 0.1
     for turn in range(ROUNDS):
         chosen = []
         if turn:
@@ -186,8 +194,12 @@ def train(positives: list[Page], unlabelled: list[Page], speaks: dict[str, float
             top = max(v)
             if top > 0:  # a page without any is most likely labelled wrongly
                 chosen.extend(r for r, x in zip(p, v) if x == top or x > 0.6 * top)
-        if not chosen:
+        if not chosen and not last:
             return None
+        if not chosen:
+            # The class is more frequent in the unlabelled set than was taken: again with a higher prior.
+            chosen, prior = last, min(0.9, 4 * used)
+        last, used = chosen, prior
         w, bias = fit_nnpu(_sparse(chosen, index), data_unl, len(index), prior)
         prior = min(0.6, max(0.01, float(np.mean(_logits(data_unl, w, bias) > 0))))
     model = Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, bias)
@@ -201,21 +213,25 @@ def _texts(docs: DataFrame) -> list[tuple]:
     return [(i, t) for b in rows for i, t in zip(b.column(0).to_pylist(), page_texts(b), strict=True)]
 
 
+def hash_sample(df: DataFrame, key: str, n_rows: int, most: int) -> DataFrame:
+    """About the most rows, those of the smallest hashes of the key: the same on every run, without a sort of all rows."""
+    if n_rows <= most:
+        return df
+    below = int(-(2**63) + 2**64 * most / n_rows)
+    return df.where(F.xxhash64(key) < F.lit(below))
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
     """The model and its threshold, from labelled documents and a sample of the others, both bounded."""
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
-    mixed = F.xxhash64("doc_id")
-    known = votes.orderBy(mixed).limit(max_labelled)
     texts = docs.where("text is not null and trim(text) <> ''")
-    labelled = {r[0]: r[1] >= 0.5 for r in known.collect()}
+    labelled = {r[0]: r[1] >= 0.5 for r in hash_sample(votes, "doc_id", labels.count(), max_labelled).collect()}
     if not any(labelled.values()):
         return None
     spark = docs.sparkSession
     ids = spark.createDataFrame([(k,) for k in labelled], "doc_id long")
     with_label = dict(_texts(texts.join(F.broadcast(ids), "doc_id", "left_semi")))
-    # The smallest hashes make a sample that is the same on every run; a top-k keeps no more than it returns.
-    sample = _columns(texts).orderBy(mixed).limit(max_unlabelled)
-    unlabelled = [t for b in sample.toArrow().to_batches() for i, t in zip(b.column(0).to_pylist(), page_texts(b), strict=True) if i not in with_label]
+    unlabelled = [t for i, t in _texts(hash_sample(texts, "doc_id", docs.count(), max_unlabelled)) if i not in with_label]
     pos = [k for k, y in labelled.items() if y and k in with_label]
     neg = [k for k, y in labelled.items() if not y and k in with_label]
     return fit_texts([with_label[k] for k in pos], [with_label[k] for k in neg], unlabelled)
@@ -224,7 +240,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
 def fit_texts(pos: list[str], neg: list[str], unlabelled: list[str]) -> Model | None:
     """The model with its threshold, which is taken from documents that the scoring model has not seen: two halves."""
     part = lambda x, half: [t for i, t in enumerate(x) if i % 2 != half]
-    sets = [speaking_features(part(pos, h), unlabelled + part(neg, h)) for h in (0, 1)] + [speaking_features(pos, unlabelled + neg)]
+    halves = [page_counts(part(pos, h)) for h in (0, 1)]
+    both = Counter({f: n for f, n in (halves[0] + halves[1]).items() if n >= 3})
+    plain = page_counts(unlabelled, both.keys())
+    against_halves = [page_counts(part(neg, h), both.keys()) for h in (0, 1)]
+    size = lambda x, h: len(part(x, h))
+    sets = [speaking_features(halves[h], size(pos, h), plain + against_halves[h], len(unlabelled) + size(neg, h)) for h in (0, 1)]
+    sets.append(speaking_features(both, len(pos), plain + against_halves[0] + against_halves[1], len(unlabelled) + len(neg)))
     union = frozenset().union(*sets)
     pages, others, against = (shown_windows(x, union) for x in (pos, unlabelled, neg))
     held: list[tuple[float, bool]] = []
@@ -234,22 +256,28 @@ def fit_texts(pos: list[str], neg: list[str], unlabelled: list[str]) -> Model |
             held += [(model.document(t), y) for own, y in ((pos, True), (neg, False)) for i, t in enumerate(own) if i % 2 == half]
     model = train(pages, others + against, sets[2])
     if model:
-        model.threshold = max(best_threshold(held), FLOOR) if held else FLOOR
+        own = sorted(x for x in map(model.document, pos) if x > NO_CASE)
+        usual = own[len(own) // 2] if own else 0.0
+        model.threshold = max(best_threshold(held), LEAST_SHARE * usual)
     return model
 
 
-def best_threshold(held: list[tuple[float, bool]]) -> float:
-    """The score with the highest F1 on held-out documents; the middle of the best stretch."""
+def best_threshold(held: list[tuple[float, bool]], slack: float = SLACK) -> float:
+    """The highest score at which the F1 on held-out documents is within the slack of its best.
+
+    Highest, as labelled documents are richer in cases than the corpus, where false ones weigh more; the
+    threshold lies midway to the next lower score.
+    """
     order = sorted(held, reverse=True)
     total = sum(y for _, y in held)
-    best, at, hit = -1.0, 0.0, 0
+    curve, hit = [], 0
     for i, (s, y) in enumerate(order):
         hit += y
-        f1 = 2 * hit / (i + 1 + total)
-        if f1 > best and s > NO_CASE:
-            nxt = max(order[i + 1][0] if i + 1 < len(order) else s - 1, s - 2)
-            best, at = f1, (s + nxt) / 2
-    return float(at)
+        nxt = order[i + 1][0] if i + 1 < len(order) else s - 1
+        if s > NO_CASE and s > nxt:
+            curve.append((2 * hit / (i + 1 + total), (s + max(nxt, s - 2)) / 2))
+    best = max((f for f, _ in curve), default=0.0)
+    return next((at for f, at in curve if f >= best - slack), 0.0)
 
 
 def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
