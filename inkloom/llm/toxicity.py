@@ -41,23 +41,46 @@ NUMBER = re.compile(r"(?<!\w)[£$€]?\d[\d,.]*(?:st|nd|rd|th|s|d)?(?!\w)")
 SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
 #: Letters parted or replaced by signs inside a word, as disguised abuse has them.
-DISGUISED = re.compile(r"\b[^\W\d_]+(?:[*@$#]+[^\W_]*)+|\b(?:[^\W_][.\-*]){3,}[^\W_]?|\b[^\W\d_]+[01345][^\W_]*[01345@$][^\W_]*")
+DISGUISED = re.compile(r"\b[^\W\d_]+(?:[*@$#]+[^\W_]*)+|\b[^\W\d_]+[01345][^\W_]*[01345@$][^\W_]*")
+#: A word spelt in single letters; the sign behind its last letter is not part of it.
+SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:[.\-*][^\W_]){2,}(?![^\W_])")
 LONG, STEP = 36, 24
+#: A part of fewer letters, or of one word, is no window of its own.
+LEAST = 12
+
+
+def _joined(m: re.Match) -> str:
+    """A spelt word put together; of four letters and more it is marked as disguised, shorter ones are mostly abbreviations."""
+    word = re.sub(r"[.\-*]", "", m[0])
+    return word + "*" if len(word) > 3 or "*" in m[0] else word
 
 
 def windows(text: str) -> list[list[str]]:
-    """Word lists of a text's windows: sentences, long ones cut with overlap, each word folded to its skeleton."""
-    out: list[list[str]] = []
-    for m in SENTENCE.finditer(text):
+    """Word lists of a text's windows: sentences, long ones cut with overlap, each word folded to its skeleton.
+
+    A short sentence, or one of a single word, goes with the next one, at the end of the text with the one before.
+    """
+    parts: list[list[str]] = []
+    short, size = [], 0
+    for m in SENTENCE.finditer(SPELT.sub(_joined, text)):
         part = m[0]
-        if len(part) < 12:
-            continue
-        words = skeleton(NUMBER.sub(" ", part)).split()
+        words = short + skeleton(NUMBER.sub(" ", part)).split()
         if DISGUISED.search(part):
             words.append("*")
+        size += len(part)
+        if size < LEAST or len(words) < 2:
+            short = words
+        else:
+            parts.append(words)
+            short, size = [], 0
+    if short and parts:
+        parts[-1] = parts[-1] + short
+    elif short:
+        parts.append(short)
+    out: list[list[str]] = []
+    for words in parts:
         if len(words) <= LONG:
-            if len(words) > 1:
-                out.append(words)
+            out.append(words)
         else:
             out.extend(words[a : a + LONG] for a in range(0, len(words) - LONG + STEP, STEP))
     return out

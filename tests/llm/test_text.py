@@ -219,3 +219,13 @@ def test_toxicity_model():
     assert model.document(None) == model.document("") == toxicity.NO_CASE
     assert toxicity.fit_texts([], neg, unl) is None
     assert toxicity.best_threshold([(3.0, True), (1.0, False)]) == 2.0
+
+
+def test_toxicity_windows_keep_short_and_spelt_words():
+    fold = lambda t: confusions.skeleton(t).split()
+    assert toxicity.windows("He met the d.i.c.k.h.e.a.d. on the road.") == [[*fold("He met the dickhead"), "*"], fold("on the road")]
+    assert toxicity.windows("You f.u.c.k.i.n.g bitch, go away.") == [[*fold("You fucking bitch go away"), "*"]]
+    assert toxicity.windows("b.a.s.t.a.r.d.") == [[*fold("bastard"), "*"]] and toxicity.windows("Idiot!") == [fold("Idiot")]
+    assert toxicity.windows("Swine! You are a fool. Pig!") == [fold("Swine You are a fool Pig")]
+    assert toxicity.windows("They sold the U.S.A. wares of it.")[0] == fold("They sold the USA")
+    assert toxicity.windows("") == toxicity.windows(" ... ") == []
