@@ -1,8 +1,8 @@
 """Problem 5: statistics of each text and its class: prose, list, table or junk.
 
 Method: tables show as delimiters that stand in the same columns of consecutive lines (pipes, tabs, semicolons, wide
-gaps), lists as marks or as runs of short lines of like form, found by the periodicity of indentation and the
-autocorrelation of line lengths; junk as lines without readable words (letters, vowels, common words). A text
+gaps), lists as marks, as runs of short lines of like form, or by the periodicity of indentation and the autocorrelation of
+line lengths where few words are common ones; junk as lines without readable words (letters, vowels). A text
 is of a class when more than half of its characters, page furniture aside, stand in such lines.
 
 Defined results: null Markdown gives null statistics and no class; empty or blank Markdown gives zero counts and
@@ -38,9 +38,11 @@ BULLET = re.compile(r"\s*(?:[-*+•·–‣◦▪]|\(?\d{1,3}[.):]|\[[ xX]\])\s+
 NOT_LETTERS = " 0123456789.,;:!?()[]{}\"'’“”«»-–—|/\\+*=<>#$%&@^~_`"
 COUNTED_VOWELS = "aeiouyáéíóúàèùâêôäöüãõаеёиоуыэюя"
 LETTERS = re.compile(r"[^\W\d_]+")
+#: Entries of lists hold a smaller share of common words than this; verse and dialogue, which may be indented, a larger one.
+LIST_COMMON = 0.1
 
 
-def _readable(line: str, common: set[str]) -> bool:
+def _readable(line: str) -> bool:
     """Whether a line reads as language: letters in words with vowels, not a blob, not a repeated filling."""
     s = line.strip()
     if not s:
@@ -102,6 +104,42 @@ def _autocorrelation(lengths: list[int]) -> float:
     return max(sum(dev[i] * dev[i + lag] for i in range(n - lag)) / var for lag in (1, 2, 3, 4) if lag < n)
 
 
+def _indentation_period(lines: list[str]) -> float:
+    """How well the indentation of lines repeats at the best small lag, 0 to 1; 0 where all stand at one place."""
+    n = len(lines)
+    indents = [len(x) - len(x.lstrip()) for x in (y.expandtabs(4) for y in lines)]
+    if n < 4 or len(set(indents)) < 2:
+        return 0.0
+    return max((sum(indents[i] == indents[i + lag] for i in range(n - lag)) / (n - lag) for lag in (2, 3, 4) if 2 * lag <= n), default=0.0)
+
+
+def _word_ratios(lines: list[str], common: set[str]) -> tuple[float, float | None]:
+    """Share of letters that stand in words, and of common words among these; null where the text parts no words or no common ones are given."""
+    text = " ".join(lines)
+    words = WORD.findall(text)
+    visible = len(text) - sum(map(text.count, " \t"))
+    share = sum(map(len, words)) / visible if visible else 0.0
+    if not common or not words or CJK.search(text):
+        return share, None
+    return share, sum(w.lower() in common for w in words) / len(words)
+
+
+def _rhythmic_list(lines: list[str], common: set[str]) -> bool:
+    """Entries in a rhythm of indentation or of line lengths, in words but with few of those that join sentences."""
+    stripped = [x.strip() for x in lines]
+    n = len(lines)
+    if n < 4 or sum(bool(END_MARK.search(x)) for x in stripped) * 5 > n:
+        return False
+    period = _indentation_period(lines) >= 0.85
+    # Wrapped prose has lines of nearly one length: only a rhythm of long and short ones counts.
+    lengths = [len(x) for x in stripped]
+    rhythm = n >= 6 and sum(x < 0.6 * max(lengths) for x in lengths) * 4 >= n and _autocorrelation(lengths) >= 0.5
+    if not period and not rhythm:
+        return False
+    in_words, known = _word_ratios(stripped, common)
+    return in_words >= 0.5 and known is not None and known < LIST_COMMON
+
+
 def _plainly_prose(lines: list[str]) -> bool:
     """A cheap sufficient test: words of letters with vowels, ending as sentences end, without columns or marks."""
     text = " ".join(lines)
@@ -131,7 +169,7 @@ def _kind_of_block(lines: list[str], common: set[str]) -> str | None:
         return "table" if bare.strip() else "junk"
     if _plainly_prose(lines):
         return None
-    bad = sum(len(x) for x in stripped if not _readable(x, common))
+    bad = sum(len(x) for x in stripped if not _readable(x))
     total = sum(map(len, stripped))
     if n >= 2 and _aligned(lines):
         dense = sum(ch.isalnum() or ch.isspace() for x in stripped for ch in x)
@@ -148,10 +186,12 @@ def _kind_of_block(lines: list[str], common: set[str]) -> str | None:
         return "list"
     if n >= 4 and len(set(stripped)) * 3 <= n:
         return "junk"  # the same few lines again and again
+    if _rhythmic_list(lines, common):
+        return "list"
     return None
 
 
-def _unmarked_list(lines: list[str]) -> bool:
+def _unmarked_list(lines: list[str], common: set[str]) -> bool:
     """Short lines of like form, each by itself: no sentence goes on from one to the next."""
     n = len(lines)
     if n < 4:
@@ -162,7 +202,7 @@ def _unmarked_list(lines: list[str]) -> bool:
     upper = sum(x[:1].isupper() or x[:1].isdigit() for x in s)
     lower = sum(x[:1].islower() for x in s)
     if mean > 48:
-        return False
+        return _rhythmic_list(lines, common)
     ends = sum(bool(END_MARK.search(x)) for x in s)
     commas = sum(x.endswith((",", ";", ":", "-", "–", "—")) for x in s)
     if commas * 5 > n or ends * 5 > n:
@@ -229,10 +269,10 @@ def text_class(markdown: str | None, converter: str | None, common: set[str]) ->
         return None
     # Entries parted by blank lines, and unmarked lists, are told from prose by all such blocks together.
     for b in prose_like:
-        if _unmarked_list(b):
+        if _unmarked_list(b, common):
             sizes["list"] += sum(len(x.strip()) for x in b)
     single = [b[0] for b in prose_like if len(b) == 1]
-    if len(single) >= 4 and _unmarked_list(single):
+    if len(single) >= 4 and _unmarked_list(single, common):
         sizes["list"] += sum(len(x.strip()) for x in single)
     prose = "\n".join("\n".join(b) for b in prose_like)
     words = LETTERS.findall(prose.lower())

@@ -229,3 +229,16 @@ def test_toxicity_windows_keep_short_and_spelt_words():
     assert toxicity.windows("Swine! You are a fool. Pig!") == [fold("Swine You are a fool Pig")]
     assert toxicity.windows("They sold the U.S.A. wares of it.")[0] == fold("They sold the USA")
     assert toxicity.windows("") == toxicity.windows(" ... ") == []
+
+
+def test_text_classes_by_rhythm():
+    common = set("the of and a to in is was it for with his on that as at by he had not are but from".split())
+    k = lambda t: quality.text_class(t, "plaintext", common)
+    entries = [("Galvanised steel brackets, assorted heavy warehouse fittings and fixings", "crate forty, upper shelving, northern aisle, brass handles and loose pegs"), ("Seasoned larch planking, rough sawn timber, nineteen bundles, tarred ends", "yard seven, beneath canvas, eastern wall, marked red chalk, weighed twice")] * 3
+    indented = "\n".join(f"{a} {i}\n    {b} {i}" for i, (a, b) in enumerate(entries))
+    assert quality._indentation_period(indented.split("\n")) == 1.0 and quality._indentation_period(["a", "b", "c", "d"]) == 0.0
+    assert k(indented) == "list"
+    rhythm = "\n".join(f"{a}, {b} {i}\nlot {i} sold" for i, (a, b) in enumerate(entries))
+    assert k(rhythm) == "list"
+    verse = "\n".join(f"The wind was on the water and it had a voice of gold {i}\n    and he that heard it by the shore was not a man to hold" for i in range(6))
+    assert k(verse) is None
