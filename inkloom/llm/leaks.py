@@ -15,7 +15,7 @@ are each reported; documents of any length are searched whole.
 from __future__ import annotations
 
 import functools
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,10 +101,6 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [skeleton(t).split() for _, t in items]
-        seen = Counter(w for ws in self.words for w in set(ws))
-        often = max(2, 0.1 * len(self.words))
-        #: Each item's words, and those that few items have.
-        self.sets = [(set(ws), {w for w in ws if seen[w] <= often} or set(ws)) for ws in self.words]
         text = "  ".join(" ".join(w) for w in self.words) + " " * (WINDOW + STEPS)
         symbols = _encode(text)
         owner = np.zeros(len(symbols), np.int32)
@@ -158,6 +154,49 @@ def _near(a: str, b: str) -> bool:
     return max(la, lb) - i - j <= (1 if max(la, lb) < 8 else 2)
 
 
+def _ends(word: str) -> tuple[str, ...]:
+    """Beginning and end of a word: words one edit apart (two in long ones) have one of them in common."""
+    n = len(word)
+    if n < 3:
+        return ()
+    return ("<" + word[0], ">" + word[-1]) if n == 3 else ("<" + word[:2], ">" + word[-2:], "<" + word[0], ">" + word[-1]) if n == 4 else ("<" + word[:2], ">" + word[-2:])
+
+
+class NearWords:
+    """A document's words by their ends, and for words of items those of them that are equal or an edit apart."""
+
+    def __init__(self, words: list[str]):
+        self.places: dict[str, list[str]] = {}
+        for w in set(words):
+            for e in _ends(w):
+                self.places.setdefault(e, []).append(w)
+        self.known: dict[str, set[str]] = {}
+
+    def of(self, word: str) -> set[str]:
+        found = self.known.get(word)
+        if found is None:
+            found = self.known[word] = {word} | {x for e in _ends(word) for x in self.places.get(e, ()) if abs(len(x) - len(word)) < 2 and _near(word, x)}
+        return found
+
+
+def may_match(item: list[str], region: list[str], near: NearWords, need: float) -> bool:
+    """Whether any stretch of need words of the item has the share MATCHED of them, equal or an edit apart, in the region.
+
+    A run that best_run or chained_run accepts is such a stretch, so nothing is turned down that these would accept.
+    """
+    here = set(region)
+    least, total = math.inf, 0.0
+    before = [0.0]
+    for i, w in enumerate(item, 1):
+        total += (1 - MATCHED) if w in here or not here.isdisjoint(near.of(w)) else -MATCHED
+        before.append(total)
+        if i >= need:
+            least = min(least, before[math.floor(i - need)])
+            if total >= least - 1e-9:
+                return True
+    return False
+
+
 def best_run(item: list[str], doc: list[str]) -> int:
     """How many of the item's words the best run in the document covers.
 
@@ -303,30 +342,28 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], share: float) -
                     spots.setdefault((int(doc_of[k]), item), []).append(int(word_no[k]))
                 rows: list[tuple[int, int]] = []
                 words: dict[int, list[str]] = {}
+                near: dict[int, NearWords] = {}
                 for (d, item), at in sorted(spots.items()):
                     ws = words.get(d)
                     if ws is None:
                         ws = words[d] = folded[d].split()
+                        near[d] = NearWords(ws)
                     own = index.words[item]
                     reach = len(own) + 40
                     need = share * len(own)
                     at.sort()
                     checked = -1
-                    mine, rare = index.sets[item]
                     for a in at:
                         if a <= checked:
                             continue
                         lo, hi = max(0, a - reach), min(len(ws), a + reach)
                         checked = a + 20
                         region = ws[lo:hi]
-                        here = set(region)
-                        if len(here & mine) < 0.6 * need or len(here & rare) < 0.14 * need:
+                        if not may_match(own, region, near[d], need):
                             continue
-                        covered, matched, x, y = chained_run(own, region)
-                        found = covered >= need and matched >= 0.9 * covered
-                        if not found and matched >= 0.4 * need:
-                            # Too few equal words, but perhaps enough that differ by an edit.
-                            found = best_run(own, region[max(0, x - 20) : y + 21]) >= need
+                        covered, matched, _, _ = chained_run(own, region)
+                        # Too few equal words may still be enough that differ by an edit.
+                        found = covered >= need and matched >= 0.9 * covered or best_run(own, region) >= need
                         if found:
                             rows.append((index.ids[item], ids[d]))
                             break

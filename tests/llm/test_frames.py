@@ -91,6 +91,16 @@ def test_p8(spark):
     assert rows(leaks.leaked_items(docs, items.where("false"))) == []
 
 
+def test_p8_badly_read(spark):
+    """A run whose words nearly all are an edit off, the rare ones too, is found as verification accepts it."""
+    item = "Yesterday gardeners planted kumquat hedges behind limestone chapels whereupon magpies attacked wandering pilgrims besides quarrelling fishmongers throughout Pembroke village market squares although constables promptly restored order without bloodshed anywhere"
+    words = item.split()
+    misread = " ".join(w if i % 3 == 0 else w[:3] + "x" + w[4:] for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, "Some words come first. " + misread + " Other words."), (2, "The gardeners planted hedges; the constables restored order.")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert rows(leaks.leaked_items(docs, items)) == [(10, 1)]
+
+
 def test_p9(spark):
     good, bad = "The market opens on Monday near the bridge. ", "You are a worthless swine and a brute, sir. "
     docs = spark.createDataFrame([(i, (good * 3 + (bad if i % 5 == 0 else "") + f"Number {i} passed by. "), "s") for i in range(200)] + [(900, None, None), (901, "", "s")], "doc_id long, text string, source string")

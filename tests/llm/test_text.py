@@ -242,3 +242,13 @@ def test_text_classes_by_rhythm():
     assert k(rhythm) == "list"
     verse = "\n".join(f"The wind was on the water and it had a voice of gold {i}\n    and he that heard it by the shore was not a man to hold" for i in range(6))
     assert k(verse) is None
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", min_size=1, max_size=10), st.data())
+def test_near_words_share_an_end(word, data):
+    at = data.draw(st.integers(0, len(word)))
+    cut = data.draw(st.integers(0, 2))
+    other = word[:at] + data.draw(st.text("abcx", max_size=2)) + word[at + cut :]
+    if leaks._near(word, other):
+        assert leaks.may_match([word], [other], leaks.NearWords([other]), 1)
