@@ -101,6 +101,7 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, _ in items]
         self.words = [skeleton(t).split() for _, t in items]
+        self.near = ItemWords(self.words)
         text = "  ".join(" ".join(w) for w in self.words) + " " * (WINDOW + STEPS)
         symbols = _encode(text)
         owner = np.zeros(len(symbols), np.int32)
@@ -162,33 +163,46 @@ def _ends(word: str) -> tuple[str, ...]:
     return ("<" + word[0], ">" + word[-1]) if n == 3 else ("<" + word[:2], ">" + word[-2:], "<" + word[0], ">" + word[-1]) if n == 4 else ("<" + word[:2], ">" + word[-2:])
 
 
-class NearWords:
-    """A document's words by their ends, and for words of items those of them that are equal or an edit apart."""
+class ItemWords:
+    """The distinct words of the items, and for words of documents which of them are equal or an edit apart.
 
-    def __init__(self, words: list[str]):
+    What is found for a word is remembered for later documents; the memory is emptied when it is full, which costs
+    time but changes nothing.
+    """
+
+    MOST = 300_000
+
+    def __init__(self, items: list[list[str]]):
+        self.number: dict[str, int] = {}
         self.places: dict[str, list[str]] = {}
-        for w in set(words):
+        for w in dict.fromkeys(w for words in items for w in words):
+            self.number[w] = len(self.number)
             for e in _ends(w):
                 self.places.setdefault(e, []).append(w)
-        self.known: dict[str, set[str]] = {}
+        self.items = [[self.number[w] for w in words] for words in items]
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def of(self, word: str) -> set[str]:
+    def of(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
-            found = self.known[word] = {word} | {x for e in _ends(word) for x in self.places.get(e, ()) if abs(len(x) - len(word)) < 2 and _near(word, x)}
+            if len(self.known) >= self.MOST:
+                self.known.clear()
+            near = {x for e in _ends(word) for x in self.places.get(e, ()) if abs(len(x) - len(word)) < 2 and _near(word, x)}
+            if word in self.number:
+                near.add(word)
+            found = self.known[word] = tuple(self.number[x] for x in near)
         return found
 
 
-def may_match(item: list[str], region: list[str], near: NearWords, need: float) -> bool:
-    """Whether any stretch of need words of the item has the share MATCHED of them, equal or an edit apart, in the region.
+def may_match(item: list[int], here: set[int], need: float) -> bool:
+    """Whether any stretch of need words of the item has the share MATCHED of them, equal or an edit apart, among those here.
 
     A run that best_run or chained_run accepts is such a stretch, so nothing is turned down that these would accept.
     """
-    here = set(region)
     least, total = math.inf, 0.0
     before = [0.0]
     for i, w in enumerate(item, 1):
-        total += (1 - MATCHED) if w in here or not here.isdisjoint(near.of(w)) else -MATCHED
+        total += (1 - MATCHED) if w in here else -MATCHED
         before.append(total)
         if i >= need:
             least = min(least, before[math.floor(i - need)])
@@ -197,6 +211,13 @@ def may_match(item: list[str], region: list[str], near: NearWords, need: float)
     return False
 
 
+def holds(item: list[str], region: list[str], need: float) -> bool:
+    """Whether a run in the region covers so many words of the item: by a chain of equal words, else by alignment."""
+    covered, matched, _, _ = chained_run(item, region)
+    # Too few equal words may still be enough that differ by an edit.
+    return covered >= need and matched >= 0.9 * covered or best_run(item, region) >= need
+
+
 def best_run(item: list[str], doc: list[str]) -> int:
     """How many of the item's words the best run in the document covers.
 
@@ -342,12 +363,12 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], share: float) -
                     spots.setdefault((int(doc_of[k]), item), []).append(int(word_no[k]))
                 rows: list[tuple[int, int]] = []
                 words: dict[int, list[str]] = {}
-                near: dict[int, NearWords] = {}
+                near: dict[int, list[tuple[int, ...]]] = {}
                 for (d, item), at in sorted(spots.items()):
                     ws = words.get(d)
                     if ws is None:
                         ws = words[d] = folded[d].split()
-                        near[d] = NearWords(ws)
+                        near[d] = [index.near.of(w) for w in ws]
                     own = index.words[item]
                     reach = len(own) + 40
                     need = share * len(own)
@@ -358,13 +379,7 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], share: float) -
                             continue
                         lo, hi = max(0, a - reach), min(len(ws), a + reach)
                         checked = a + 20
-                        region = ws[lo:hi]
-                        if not may_match(own, region, near[d], need):
-                            continue
-                        covered, matched, _, _ = chained_run(own, region)
-                        # Too few equal words may still be enough that differ by an edit.
-                        found = covered >= need and matched >= 0.9 * covered or best_run(own, region) >= need
-                        if found:
+                        if may_match(index.near.items[item], set().union(*near[d][lo:hi]), need) and holds(own, ws[lo:hi], need):
                             rows.append((index.ids[item], ids[d]))
                             break
                 if rows:
@@ -374,6 +389,20 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]], share: float) -
     return _columns(docs).mapInArrow(run, "item_id long, doc_id long")
 
 
+def brute_force(texts: dict[int, str], items: list[tuple[int, str]], share: float = SHARE) -> set[tuple[int, int]]:
+    """(item_id, doc_id) by verification of every item against every whole document, to measure the search's recall."""
+    words = [skeleton(t).split() for _, t in items]
+    near = ItemWords(words)
+    out: set[tuple[int, int]] = set()
+    for doc, text in texts.items():
+        ws = skeleton(text).split()
+        here = set().union(*map(near.of, ws))
+        for k, (item, _) in enumerate(items):
+            if words[k] and may_match(near.items[k], here, share * len(words[k])) and holds(words[k], ws, share * len(words[k])):
+                out.add((item, doc))
+    return out
+
+
 @functools.lru_cache(maxsize=2)
 def _index_of(items: tuple[tuple[int, str], ...]) -> ItemIndex:
     return ItemIndex(list(items))

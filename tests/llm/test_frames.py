@@ -91,6 +91,17 @@ def test_p8(spark):
     assert rows(leaks.leaked_items(docs, items.where("false"))) == []
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_p8_recall_against_brute_force(spark):
+    """At least 0.9 of what verification of every item against every whole document accepts."""
+    docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/eval_items.parquet")
+    known = [(r[0], r[1]) for r in items.where("text is not null").select("item_id", "text").collect()]
+    texts = dict(toxicity._texts(docs))
+    want = leaks.brute_force(texts, known)
+    got = set(rows(leaks.leaked_items(docs, items)))
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_p8_badly_read(spark):
     """A run whose words nearly all are an edit off, the rare ones too, is found as verification accepts it."""
     item = "Yesterday gardeners planted kumquat hedges behind limestone chapels whereupon magpies attacked wandering pilgrims besides quarrelling fishmongers throughout Pembroke village market squares although constables promptly restored order without bloodshed anywhere"

@@ -251,4 +251,5 @@ def test_near_words_share_an_end(word, data):
     cut = data.draw(st.integers(0, 2))
     other = word[:at] + data.draw(st.text("abcx", max_size=2)) + word[at + cut :]
     if leaks._near(word, other):
-        assert leaks.may_match([word], [other], leaks.NearWords([other]), 1)
+        known = leaks.ItemWords([[word]])
+        assert leaks.may_match(known.items[0], set(known.of(other)), 1)
