@@ -145,32 +145,38 @@ def chart_table(cats: DataFrame, values: DataFrame, series: list[str]) -> DataFr
     return joined.select("idx", F.coalesce("category", F.lit("")).alias("category"), *[F.coalesce(F.col(f"`{s}`"), F.lit("")).alias(s) for s in series])
 
 
-def heading_levels(styles: DataFrame, hops: int = 10) -> DataFrame:
-    """(style_id, level): heading level of each style by id or name, outline level, or the style it is based on, at most hops away.
+def heading_levels(styles: DataFrame, hops: int = 9, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, style_id, level): heading level of each style by id or name, outline level, or the style it is based on, at most hops away.
+
+    keys name the document, where styles holds those of many. A style that is based on one that is not there
+    takes the level of that one's id.
 
     An iterative self-join over the few styles that have no level yet; cycles end with the hops. Level 0: no heading.
     """
     def named(c: str) -> Column:
-        n = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-        m = F.regexp_extract(n, r"^heading ?([1-9])$", 1)
+        n = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""))
+        m = F.regexp_extract(n, r"^heading\s*([1-9])$", 1)
         return F.when(n == "title", 1).when(m != "", m.try_cast("int"))
 
     own = F.coalesce(named("style_id"), named("name"), F.when(F.col("outline_lvl").between(0, 8), F.col("outline_lvl") + 1))
-    base = styles.select("style_id", own.alias("own"), "based_on")
-    at = base.select("style_id", F.col("own").alias("level"), F.col("based_on").alias("next"))
-    up = base.select(F.col("style_id").alias("next"), F.col("own").alias("up_level"), F.col("based_on").alias("up_next"))
+    base = styles.select(*keys, "style_id", own.alias("own"), F.nullif("based_on", F.lit("")).alias("based_on"))
+    at = base.select(*keys, "style_id", F.col("own").alias("level"), F.when(F.col("own").isNull(), F.col("based_on")).alias("next"))
+    up = base.select(*keys, F.col("style_id").alias("next"), F.col("own").alias("up_level"), F.col("based_on").alias("up_next"))
     for _ in range(hops):
-        at = at.join(up, "next", "left").select("style_id", F.coalesce("level", "up_level").alias("level"), F.when(F.col("level").isNull() & F.col("up_level").isNull(), F.col("up_next")).alias("next"))
-    return at.select("style_id", F.coalesce("level", F.lit(0)).alias("level"))
+        level = F.coalesce("level", "up_level", named("next"))
+        at = at.join(up, [*keys, "next"], "left").select(*keys, "style_id", level.alias("level"), F.when(level.isNull(), F.col("up_next")).alias("next"))
+    return at.select(*keys, "style_id", F.coalesce("level", F.lit(0)).alias("level"))
+
 
+def list_kinds(paragraphs: DataFrame, numbers: DataFrame, levels: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """paragraphs (keys, num_id, ilvl) with kind 'ordered', 'bullet' or null for no list: two lookups in a row.
 
-def list_kinds(paragraphs: DataFrame, numbers: DataFrame, levels: DataFrame) -> DataFrame:
-    """paragraphs (num_id, ilvl) with kind 'ordered', 'bullet' or null for no list: two lookups in a row."""
-    known = numbers.select("num_id", "abstract_id").dropDuplicates(["num_id"])
-    defined = levels.select("abstract_id").distinct().withColumn("defined", F.lit(True))
-    fmt = levels.select("abstract_id", "ilvl", "num_fmt").dropDuplicates(["abstract_id", "ilvl"])
-    kind = F.when(F.coalesce("num_id", F.lit("")).isin("", "0") | F.col("defined").isNull(), None).when(F.coalesce("num_fmt", F.lit("bullet")) == "bullet", "bullet").otherwise("ordered")
-    return paragraphs.join(known, "num_id", "left").join(defined, "abstract_id", "left").join(fmt, ["abstract_id", "ilvl"], "left").withColumn("kind", kind).drop("abstract_id", "defined", "num_fmt")
+    A number that is there but has no definition, or none of the level, makes bullets.
+    """
+    known = numbers.select(*keys, "num_id", "abstract_id").dropDuplicates([*keys, "num_id"]).withColumn("__known", F.lit(True))
+    fmt = levels.select(*keys, "abstract_id", "ilvl", "num_fmt").dropDuplicates([*keys, "abstract_id", "ilvl"])
+    kind = F.when(F.coalesce("num_id", F.lit("")).isin("", "0") | F.col("__known").isNull(), None).when(F.coalesce(F.nullif("num_fmt", F.lit("")), F.lit("bullet")) == "bullet", "bullet").otherwise("ordered")
+    return paragraphs.join(known, [*keys, "num_id"], "left").join(fmt, [*keys, "abstract_id", "ilvl"], "left").withColumn("kind", kind).drop("abstract_id", "__known", "num_fmt")
 
 
 def external_links(links: DataFrame, rels: DataFrame) -> DataFrame:

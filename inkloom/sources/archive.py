@@ -52,7 +52,9 @@ class _Output:
         self.parts.append(text)
 
 
-def convert(data: bytes, options: Options, engine) -> Result:
+def convert(data: bytes, options: Options, engine, inside_archive: bool = False) -> Result:
+    if inside_archive:
+        raise NestedArchive(NESTED)
     if len(data) > ARCHIVE_BYTES:
         raise InputTooLarge(f"zip archive is {len(data)} bytes; limit is {ARCHIVE_BYTES}")
     preflight(data)

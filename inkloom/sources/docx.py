@@ -15,7 +15,10 @@ from inkloom.sources.ooxml import Element, Package, TooComplex, target, tree
 #: Elements whose content is looked through. Fixed values.
 TRANSPARENT = frozenset(("ins", "smartTag", "fldSimple"))
 OFF = frozenset(("0", "false", "none", "off"))
-MAX_BASED_ON = 10
+#: Styles looked at from a paragraph's own upwards. Fixed value.
+MAX_STYLES = 10
+#: Cells of one table row; a row of more is an error of the document, not cut.
+MAX_ROW_CELLS = 1_000_000
 IMAGE_TYPES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".bmp": "image/bmp", ".svg": "image/svg+xml", ".webp": "image/webp", ".tif": "image/tiff", ".tiff": "image/tiff"}
 
 
@@ -45,18 +48,18 @@ def read_styles(root: Element | None) -> dict[str, tuple[str, str, int]]:
 
 def heading_level(style: str, styles: dict[str, tuple[str, str, int]]) -> int:
     """1 to 9, or 0 for no heading: by name, then outline level, then the style it is based on."""
-    for _ in range(MAX_BASED_ON + 1):
-        if not style:
-            return 0
+    for _ in range(MAX_STYLES):
         name, based, level = styles.get(style, ("", "", -1))
         for label in (style, name):
-            m = re.fullmatch(r"heading ?([1-9])", label.strip().lower())
+            m = re.fullmatch(r"heading\s*([1-9])", label.strip().lower())
             if m:
                 return int(m[1])
             if label.strip().lower() == "title":
                 return 1
         if level >= 0:
             return level + 1
+        if not based:
+            return 0
         style = based
     return 0
 
@@ -75,9 +78,10 @@ def read_numbering(root: Element | None) -> tuple[dict[str, str], dict[str, dict
 def list_kind(num_id: str, level: str, numbering) -> bool | None:
     """True ordered, False bullets, None for no list."""
     numbers, abstract = numbering
-    if num_id in ("", "0") or numbers.get(num_id) not in abstract:
+    if num_id in ("", "0") or num_id not in numbers:
         return None
-    return abstract[numbers[num_id]].get(level, "bullet") != "bullet"
+    # A number whose definition or level is missing still makes a list item.
+    return (abstract.get(numbers[num_id], {}).get(level) or "bullet") != "bullet"
 
 
 class Writer:
@@ -204,13 +208,16 @@ class Writer:
         self.out.write("<table>\n")
         tag = "th"
         for tr in t.all("tr"):
-            cells = []
+            cells, n = [], 0
             for tc in tr.all("tc"):
                 span = tc.path("tcPr", "gridSpan")
                 merge = tc.path("tcPr", "vMerge")
                 width = int(span.attr("val")) if span is not None and span.attr("val").isdigit() else 1
                 text = "" if merge is not None and merge.attr("val") != "restart" else self.cell(tc)
-                cells.append(f"<{tag}>{text}</{tag}>" + f"<{tag}></{tag}>" * (min(width, 1000) - 1))
+                n += max(width, 1)
+                if n > MAX_ROW_CELLS:
+                    raise TooComplex(f"docx: a table row spans more than {MAX_ROW_CELLS} cells")
+                cells.append(f"<{tag}>{text}</{tag}>" + f"<{tag}></{tag}>" * (width - 1))
             self.out.write("<tr>" + "".join(cells) + "</tr>\n")
             tag = "td"
         self.out.write("</table>\n")

@@ -26,6 +26,8 @@ class Converter:
     input_limit: int | None = None
     is_fallback: bool = False
     accepts: Callable[[Hints], bool] | None = None
+    #: Whether convert also gets the engine, for parts that are documents themselves, and whether it is inside an archive.
+    wants_engine: bool = False
 
     def takes(self, hints: Hints) -> bool:
         return self.accepts(hints) if self.accepts else hints.matches(self.extensions, self.mime_prefixes)
@@ -88,18 +90,14 @@ class Engine:
     def convert(self, data: bytes, hints: Hints, options: Options | None = None, inside_archive: bool = False) -> Result:
         options = options or Options()
         attempts: list[tuple[str, str]] = []
-        accepted = False
         for guess in sniff.guesses(data, hints):
             for c in self.ordered():
                 if not c.takes(guess):
                     continue
-                accepted = True
                 try:
                     if c.input_limit and len(data) > c.input_limit:
                         raise InputTooLarge(f"{c.name}: input is {len(data)} bytes; limit is {c.input_limit}")
-                    if c.name == "zip" and inside_archive:
-                        raise NestedArchive(archive.NESTED)
-                    found = archive.convert(data, options, self) if c.name == "zip" else c.convert(data, guess, options)
+                    found = c.convert(data, guess, options, self, inside_archive) if c.wants_engine else c.convert(data, guess, options)
                     if found is None:
                         continue
                     _check(found.markdown, options)
@@ -116,7 +114,7 @@ class Engine:
                 else:
                     found.converter = c.name
                     return found
-        if attempts or accepted:
+        if attempts:
             raise ConversionFailed(attempts)
         raise Unsupported("unsupported format")
 
@@ -151,7 +149,7 @@ FORMATS: list[tuple[Converter, int]] = [
     (Converter("pptx", _simple(pptx.convert), (".pptx",), (_OOXML + "presentationml",), ARCHIVE_BYTES), SPECIFIC),
     (Converter("doc", _simple(legacydoc.convert), (".doc",), ("application/msword", "application/vnd.ms-word", "application/x-ole-storage"), ARCHIVE_BYTES), SPECIFIC),
     (Converter("docx", _simple(docx.convert), (".docx",), (_OOXML + "wordprocessingml",), ARCHIVE_BYTES), SPECIFIC),
-    (Converter("zip", lambda d, h, o: None, (".zip",), sniff.ZIP_MIMES, ARCHIVE_BYTES), ARCHIVE),
+    (Converter("zip", lambda d, h, o, engine, inside: archive.convert(d, o, engine, inside), (".zip",), sniff.ZIP_MIMES, ARCHIVE_BYTES, wants_engine=True), ARCHIVE),
 ]
 
 

@@ -8,7 +8,7 @@ from inkloom.model import ARCHIVE_BYTES, InputTooLarge, Options, Result
 from inkloom.sources.markdown import Bounded
 
 MAGIC = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
-WORD_MAGIC, ENCRYPTED, WHICH_TABLE, COMPRESSED = 0xA5EC, 0x0100, 0x0200, 0x40000000
+WORD_MAGIC, ENCRYPTED, WHICH_TABLE, COMPRESSED, ADDRESS = 0xA5EC, 0x0100, 0x0200, 0x40000000, 0x3FFFFFFF
 MAX_PIECES, MAX_FIELDS, CLX_PAIR = 262_144, 1_024, 33
 END_OF_CHAIN, FREE = 0xFFFFFFFE, 0xFFFFFFFF
 #: Marks in the text stream and what they become; None ends nothing and shows nothing. Fixed values.
@@ -135,16 +135,26 @@ def pieces(plc: bytes, main: int) -> list[tuple[int, int, int, bool]]:
     n = (len(plc) - 4) // 12
     if n > MAX_PIECES:
         raise ValueError(f"doc: more than {MAX_PIECES} pieces")
+    if not main:
+        return []
     bounds = struct.unpack_from(f"<{n + 1}I", plc)
-    if n and bounds[0] != 0 or any(a >= b for a, b in zip(bounds, bounds[1:])):
-        raise ValueError("doc: piece positions do not increase from 0")
+    if bounds[0] != 0:
+        raise ValueError(f"doc: the first piece begins at character {bounds[0]}")
+    if bounds[-1] < main:
+        raise ValueError(f"doc: the pieces end at character {bounds[-1]}, the main text at {main}")
     out = []
     for i in range(n):
+        if bounds[i] >= bounds[i + 1]:
+            raise ValueError(f"doc: piece {i} has no characters")
         if bounds[i] >= main:
             break
         fc = _at("<I", plc, 4 * (n + 1) + 8 * i + 2)
         small = bool(fc & COMPRESSED)
-        where = (fc & ~COMPRESSED) // 2 if small else fc & ~COMPRESSED
+        where = fc & ADDRESS
+        if small:
+            if where % 2:
+                raise ValueError(f"doc: piece {i} of one-byte characters at an odd offset")
+            where //= 2
         out.append((bounds[i], min(bounds[i + 1], main), where, small))
     return out
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import json
 import mimetypes
+import re
 import struct
 import zipfile
 
@@ -50,12 +52,14 @@ def sniff(data: bytes) -> tuple[str, str, tuple[str, ...]]:
     head = data[:SNIFF_BYTES]
     if not head:
         return "text/plain", ".txt", ()
-    if head.startswith(b"%PDF-") or b"%PDF-" in head[:1024]:
+    if head.startswith(b"%PDF-"):
         return "application/pdf", ".pdf", ()
     if head.startswith(b"PK\x03\x04") or head.startswith(b"PK\x05\x06"):
         return _zip_kind(data)
     if head.startswith(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"):
-        return ("application/msword", ".doc", ("application/x-ole-storage",)) if b"W\0o\0r\0d\0D\0o\0c\0" in data else ("application/x-ole-storage", "", ())
+        return ("application/msword", ".doc", ("application/x-ole-storage",)) if b"W\0o\0r\0d\0D\0o\0c\0" in _ole_directory(data) else ("application/x-ole-storage", "", ())
+    if b"%PDF-" in head[:1024]:
+        return "application/pdf", ".pdf", ()
     for magic, mime, ext in ((b"\x89PNG\r\n\x1a\n", "image/png", ".png"), (b"\xff\xd8\xff", "image/jpeg", ".jpg"), (b"GIF8", "image/gif", ".gif"), (b"\x1f\x8b", "application/gzip", ".gz"), (b"{\\rtf", "text/rtf", ".rtf")):
         if head.startswith(magic):
             return mime, ext, ()
@@ -66,7 +70,7 @@ def sniff(data: bytes) -> tuple[str, str, tuple[str, ...]]:
         return "text/html", ".html", ("text/plain",)
     if low.startswith(b"<?xml"):
         return ("text/html", ".html", ("text/plain",)) if b"<html" in low else ("text/xml", ".xml", ("text/plain",))
-    if low[:1] in b"{[" and low[:1] and _json(data):
+    if low[:1] in b"{[" and low[:1] and _json(head, len(data) > len(head)):
         return "application/json", ".json", ("text/plain",)
     return "text/plain", ".txt", ()
 
@@ -75,20 +79,55 @@ def _binary(head: bytes) -> bool:
     return any(b < 9 or 14 <= b < 27 or 28 <= b < 32 or b == 11 for b in head)
 
 
-def _json(data: bytes) -> bool:
-    import json
-
-    try:
-        json.loads(data.decode("utf-8-sig"))
-    except ValueError:
-        return False
+def _ole_directory(data: bytes) -> bytes:
+    """The first directory entries of a compound file, which its header points to."""
+    if len(data) < 52:
+        return b""
+    shift, first = struct.unpack_from("<H", data, 30)[0], struct.unpack_from("<I", data, 48)[0]
+    at = (first + 1) << min(shift, 16)
+    return data[at : at + 4096]
+
+
+#: A piece of JSON: white space, a mark, a string, a number or a word.
+JSON_PIECE = re.compile(r'[ \t\r\n]+|[{}\[\],:]|"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null')
+
+
+def _json(head: bytes, goes_on: bool) -> bool:
+    """Whether the beginning of a text is JSON; where the text goes on, its last piece may be cut and brackets open."""
+    if not goes_on:
+        try:
+            json.loads(head.decode("utf-8-sig"))
+        except ValueError:
+            return False
+        return True
+    text = head.decode("utf-8", "ignore").lstrip("\ufeff")
+    at, open_marks, before = 0, [], ""
+    while at < len(text):
+        m = JSON_PIECE.match(text, at)
+        if not m or m.end() == at:
+            return len(text) - at < len(text) // 2 and text[at] in '"-tfn0123456789'  # the piece that the prefix cuts
+        piece, at = m[0], m.end()
+        if piece.isspace():
+            continue
+        if piece in "}]":
+            if not open_marks or open_marks.pop() != {"}": "{", "]": "["}[piece] or before in (",", ":"):
+                return False
+        elif piece in ",:":
+            if before in ("", ",", ":", "{", "["):
+                return False
+        else:
+            if before not in ("", ",", ":", "{", "["):
+                return False
+            if piece in "{[":
+                open_marks.append(piece)
+        before = piece
     return True
 
 
 def _zip_kind(data: bytes) -> tuple[str, str, tuple[str, ...]]:
     names: list[str] = []
     try:
-        names = [i.filename for i in zipfile.ZipFile(io.BytesIO(data)).infolist()[:200]]
+        names = [i.filename for i in zipfile.ZipFile(io.BytesIO(data)).infolist()]
     except Exception:  # an archive that is cut short still tells its first names
         at = 0
         while len(names) < 20 and data[at : at + 4] == b"PK\x03\x04" and at + 30 <= len(data):

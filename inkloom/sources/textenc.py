@@ -51,7 +51,8 @@ def detect(prefix: bytes) -> str:
     best: tuple[float, int, str] | None = None
     for rank, name in enumerate(MULTI_BYTE):
         try:
-            text = codecs.getincrementaldecoder(codec(name))("strict").decode(prefix, final=len(prefix) < 8192)
+            # The vendor's further Hangul, which nearly any pairs of bytes make, are no sign of Korean.
+            text = codecs.getincrementaldecoder("euc_kr" if name == "euc-kr" else codec(name))("strict").decode(prefix, final=len(prefix) < 8192)
         except UnicodeDecodeError:
             continue
         found = len(CJK.findall(text)) + len(KANA_HANGUL.findall(text))
@@ -71,13 +72,46 @@ def detect(prefix: bytes) -> str:
             best = (score, rank, name)
     if best and best[0] > 0:
         return best[2]
-    return "windows-1251" if _looks_cyrillic(prefix) else "windows-1252"
-
-
-def _looks_cyrillic(data: bytes) -> bool:
-    high = sum(b >= 0xC0 for b in data)
-    letters = sum(0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A for b in data)
-    return high > 20 and high > 2 * letters
+    return single_byte(prefix)
+
+
+#: Single-byte charsets and the letters, beyond ASCII, of languages written in them; the order resolves ties. Fixed values.
+LETTERS = {
+    "windows-1252": ["äöüß", "àâæçéèêëîïôœùûüÿ", "áéíñóúü", "ãáâàçéêíóôõú", "åäöøæé", "àèéìîòù"],
+    "windows-1250": ["ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áéíóöőúüű", "ăâîșțşţ", "čćđšž"],
+    "iso-8859-2": ["ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áéíóöőúüű", "ăâîşţ", "čćđšž"],
+    "windows-1251": ["абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїєґ"],
+    "koi8-r": ["абвгдеёжзийклмнопрстуфхцчшщъыьэюя"],
+    "iso-8859-5": ["абвгдеёжзийклмнопрстуфхцчшщъыьэюяіїє"],
+    "iso-8859-7": ["αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώϊϋ"],
+}
+#: Marks that speak neither for nor against a charset.
+NEUTRAL = re.compile("[\u2010-\u203a\u20ac\xa0-\xbf№™]")
+
+
+def single_byte(data: bytes) -> str:
+    """The charset in whose reading most letters belong to one language's alphabet, small ones inside words."""
+    best, name = 0.0, "windows-1252"
+    for charset, alphabets in LETTERS.items():
+        text = _lenient_1252(data) if charset == "windows-1252" else data.decode(codec(charset), "replace")
+        high = [m for m in re.finditer("[^\x00-\x7f]", text) if not NEUTRAL.match(m[0])]
+        if not high:
+            continue
+        for letters in alphabets:
+            score = 0.0
+            for m in high:
+                ch, before = m[0], text[m.start() - 1 : m.start()]
+                if ch.lower() not in letters:
+                    score -= 1
+                elif ch.islower():
+                    # Cyrillic and Greek words hold no ASCII letters.
+                    score += 1 if letters[0] < "\u0370" or not (before.isascii() and before.isalpha()) else -1
+                else:
+                    score += 0.5 if not before.islower() else -1
+            score /= len(high)
+            if score > best + 1e-9:
+                best, name = score, charset
+    return name
 
 
 def decode(data: bytes, charset: str, limit: int | None = None) -> str:

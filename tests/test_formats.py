@@ -1,3 +1,4 @@
+import struct
 import threading
 
 import pytest
@@ -7,7 +8,8 @@ from inkloom import model
 from inkloom.model import ConversionFailed, Hints, InputTooLarge, Options, ResultTooLarge, Unsupported
 from inkloom.sources import htmlmd, legacydoc, ooxml, pdftext, sniff, textenc
 from inkloom.sources import xlsx as X
-from inkloom.sources.engine import Converter, Engine, default_engine
+from inkloom.plans.samples import list_item, style, table_cell
+from inkloom.sources.engine import FORMATS, Converter, Engine, default_engine
 from inkloom.sources.pdf import OcrLimit
 
 E = default_engine()
@@ -44,6 +46,28 @@ def test_failures_are_gathered():
         e.convert(b"q", Hints(extension=".y"))
 
 
+def test_declining_is_not_failing():
+    e = Engine(with_builtins=False)
+    e.register(Converter("no", lambda d, h, o: None, (".x",)), 0)
+    with pytest.raises(Unsupported):
+        e.convert(b"q", Hints(extension=".x"))
+
+
+def test_own_converter_of_a_built_in_name():
+    e = Engine()
+    for c, p in FORMATS:
+        e.register(c, p)
+    e.register(Converter("zip", lambda d, h, o: model.Result("own"), (".zip",)), model.ARCHIVE)
+    assert e.convert(archive({"a.txt": "x"}), Hints(extension=".zip")).markdown == "own\n"
+
+
+def test_sniffing_reads_a_prefix():
+    assert sniff.sniff(b'{"a": [' + b'"x", ' * 9000)[0] == "application/json" and sniff.sniff(b"[1, 2}" + b" " * 9000)[0] == "text/plain"
+    assert sniff.sniff(b"{curly} text " * 900)[0] == "text/plain" and sniff.sniff(b'{"a": 1} x')[0] == "text/plain"
+    late = archive({f"p{i}": "" for i in range(300)} | {"[Content_Types].xml": "<Types/>", "word/document.xml": "<x/>"})
+    assert sniff.sniff(late)[1] == ".docx" and sniff.sniff(doc([("x", True)]))[0] == "application/msword"
+
+
 def test_limits_stop_the_chain():
     e = Engine()
     e.register(Converter("small", lambda d, h, o: model.Result("x"), (".txt",), input_limit=2), 0)
@@ -78,6 +102,11 @@ def test_charsets():
     for name, text in (("shift_jis", "日本語のテキストです。新しい駅"), ("euc-jp", "日本語のテキストです。新しい駅"), ("gbk", "这是一个中文的文本文件"), ("euc-kr", "한국어 문장입니다 안녕하세요"), ("big5", "這是一個繁體中文的檔案")):
         data = text.encode(textenc.codec(name))
         assert textenc.decode(data, textenc.detect(data)) == text, name
+    for name, text in (("windows-1250", "Zażółć gęślą jaźń, źdźbło i łąka"), ("iso-8859-2", "Příliš žluťoučký kůň úpěl ďábelské ódy"), ("koi8-r", "Съешь ещё этих мягких булок"), ("windows-1251", "Съешь ещё этих мягких булок"), ("iso-8859-7", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία"), ("windows-1252", "Où est l’été à Besançon ? Là-bas.")):
+        data = text.encode(textenc.codec(name))
+        assert textenc.decode(data, textenc.detect(data)) == text, name
+    table = "名前,年齢,住所\r\n佐藤太郎,30,東京\r\n三木英子,25,大阪\r\n髙橋淳,35,名古屋\r\n"
+    assert textenc.decode(table.encode("cp932"), textenc.detect(table.encode("cp932"))) == table
     west = "größe naïve".encode("cp1252")
     assert textenc.decode(west, textenc.detect(west)) == "größe naïve"
     with pytest.raises(LookupError):
@@ -144,6 +173,16 @@ def test_docx():
     assert res.title == "Top"
     assert res.markdown == "# Top\n\n## Kid head\n\n### Out\n\n- a\n\n  1. b\n- c\n\n**bold** [link](https://e.org/) new- \\<x>E=m\n\n| A |          |\n|---|----------|\n|   | x<br />y |\n\n![pic](i.png)\n"
     assert "iVBORw==" in E.convert(data, Hints(), Options(keep_data_uris=True)).markdown
+    # Ten styles are looked at; a number without definition makes bullets, an unknown one no list.
+    chain = lambda n: "".join(style(f"S{i}", f"s{i}", f"S{i + 1}") for i in range(n)) + style(f"S{n}", "Heading\u00a02" if n > 20 else "heading  2")
+    for n, want in ((9, "## x\n"), (10, "x\n")):
+        assert md(docx(para("x", '<w:pStyle w:val="S0"/>'), chain(n)), extension=".docx") == want
+    numbers = '<w:num w:numId="6"><w:abstractNumId w:val="9"/></w:num>'
+    assert md(docx(list_item("x", "6") + list_item("y", "7"), numbering=numbers), extension=".docx") == "- x\n\ny\n"
+    wide = md(docx("<w:tbl><w:tr>" + table_cell("A", '<w:gridSpan w:val="1500"/>') + "</w:tr></w:tbl>"), extension=".docx")
+    assert wide.split("\n")[0].count("|") == 1501
+    with pytest.raises(ConversionFailed):
+        md(docx("<w:tbl><w:tr>" + table_cell("A", '<w:gridSpan w:val="99000000"/>') + "</w:tr></w:tbl>"), extension=".docx")
     with pytest.raises(ConversionFailed):
         E.convert(archive({"word/x.xml": "<x/>", "_rels/.rels": "<x/>"}), Hints(extension=".docx"))
 
@@ -189,6 +228,11 @@ def test_doc():
     assert md(data, extension=".doc") == "Café “q”\nlink 😀\n"
     with pytest.raises(ConversionFailed):
         E.convert(doc([("x", True)], encrypted=True), Hints(extension=".doc"))
+    plc = lambda bounds, *fcs: struct.pack(f"<{len(bounds)}I", *bounds) + b"".join(struct.pack("<HIH", 0, fc, 0) for fc in fcs)
+    assert legacydoc.pieces(plc([0, 4], 2048 * 2 | 0x40000000), 4) == [(0, 4, 2048, True)] and legacydoc.pieces(plc([5]), 0) == []
+    for bad in (plc([0, 3], 0), plc([1, 9], 0), plc([0, 9], 2049 | 0x40000000), plc([0, 2, 2, 9], 0, 0, 0)):
+        with pytest.raises(ValueError):
+            legacydoc.pieces(bad, 4)
     assert legacydoc.visible("a\x07b\x1ec\x1fd\x0be") == "a\tb-cd\ne"
 
 
