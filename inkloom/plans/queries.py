@@ -97,19 +97,20 @@ def gfm_table_nation(spark, d):
     return pipe_table(t(spark, d, "nation"), ["n_nationkey", "n_name", "n_regionkey"], ["n_nationkey"])
 
 
-@query("SELECT c_mktsegment, '| c_custkey | c_name | c_acctbal |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' | ' || CAST(c_acctbal AS DECIMAL(18,2)) || ' |', chr(10) ORDER BY c_custkey) || chr(10) AS markdown FROM customer GROUP BY c_mktsegment")
-def gfm_table_customer_segment(spark, d):
-    rows = t(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(18,2)"))
-    return pipe_table(rows, ["c_custkey", "c_name", "c_acctbal"], ["c_custkey"], keys=["c_mktsegment"])
+@query("SELECT o_custkey, '| o_orderkey | o_orderpriority | o_totalprice |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderpriority || ' | ' || CAST(o_totalprice AS DECIMAL(18,2)) || ' |', chr(10) ORDER BY o_orderkey) || chr(10) AS markdown FROM orders GROUP BY 1")
+def gfm_table_customer_orders(spark, d):
+    """A table for each customer; a customer's orders are a few dozen, however many customers there are."""
+    rows = t(spark, d, "orders").withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)"))
+    return pipe_table(rows, ["o_orderkey", "o_orderpriority", "o_totalprice"], ["o_orderkey"], keys=["o_custkey"])
 
 
-@query("""WITH s AS (SELECT r_regionkey, r_name, '| nation |' || chr(10) || '| --- |' || chr(10) || string_agg('| ' || n_name || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS md FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL)
-SELECT string_agg('## ' || r_name || chr(10) || chr(10) || md, chr(10) ORDER BY r_regionkey) AS markdown FROM s""")
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, '| order | day |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || strftime(o_orderdate, '%Y-%m-%d') || ' |', chr(10) ORDER BY o_orderkey) || chr(10) AS md FROM orders GROUP BY 1, 2)
+SELECT o_custkey, string_agg('## ' || o_orderpriority || chr(10) || chr(10) || md, chr(10) ORDER BY o_orderpriority) AS markdown FROM s GROUP BY 1""")
 def workbook_sheets(spark, d):
-    """A sheet for each region, in order, a blank line between them."""
-    sheets = pipe_table(t(spark, d, "nation"), ["n_name"], ["n_nationkey"], ["nation"], ["n_regionkey"], "table")
-    named = t(spark, d, "region").join(sheets, F.col("r_regionkey") == F.col("n_regionkey"))
-    return A.joined_parts(named, [], A.sheet_section("r_name", "table"), "r_regionkey", "\n")
+    """A workbook for each customer with a sheet for each priority, in order, a blank line between them."""
+    rows = t(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    sheets = pipe_table(rows, ["o_orderkey", "day"], ["o_orderkey"], ["order", "day"], ["o_custkey", "o_orderpriority"], "table")
+    return A.joined_parts(sheets, ["o_custkey"], A.sheet_section("o_orderpriority", "table"), "o_orderpriority", "\n")
 
 
 @query("SELECT result_id, title, regexp_replace('data:text/plain;base64,' || coalesce(title, ''), '^(data:[^,]*,)[\\s\\S]*$', '\\1...') AS src FROM results")
@@ -282,10 +283,12 @@ def archive_sections(spark, d):
     return A.joined_parts(members.withColumn("at", F.struct("entry_no", "name")), ["stream_id"], text, "at", "")
 
 
-@query("""WITH n AS (SELECT result_id, collection, coalesce(sum((error_code IS NULL)::INT) OVER (PARTITION BY collection ORDER BY result_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM results)
-SELECT result_id, collection FROM n WHERE k < 64""")
+@query("""WITH w AS (SELECT DISTINCT result_id, seq, code FROM warnings), n AS (SELECT *, coalesce(sum((code = 'incomplete')::INT) OVER (PARTITION BY result_id ORDER BY seq, code ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM w)
+SELECT result_id, seq, code FROM n WHERE k < 64""")
 def member_cap_64(spark, d):
-    return A.first_members(t(spark, d, "results"), ["collection"], ["result_id"], F.col("error_code").isNull(), 64).select("result_id", "collection")
+    """Warnings in place of members: of a record there are at most 256, of which those of code 'incomplete' count."""
+    rows = t(spark, d, "warnings").select("result_id", "seq", "code").distinct()
+    return A.first_members(rows, ["result_id"], ["seq", "code"], F.col("code") == "incomplete", 64).select("result_id", "seq", "code")
 
 
 @query("""WITH p AS (SELECT DISTINCT result_id, page_no, text FROM pdf_page), n AS (SELECT *, sum(coalesce(octet_length(encode(text)), 0)) OVER (PARTITION BY result_id ORDER BY page_no, text NULLS FIRST ROWS UNBOUNDED PRECEDING) AS bytes_so_far FROM p)
@@ -347,35 +350,43 @@ def chart_full_outer(spark, d):
     return A.chart_table(cats, a.unionByName(b), ["customers", "suppliers"])
 
 
-_STYLES = [("Title", "Title", "", -1), ("H1", "heading 1", "Normal", -1), ("Sub", "Section head", "H1", -1), ("Deep", "Deep", "Sub", -1), ("Out", "Outlined", "Normal", 3), ("Normal", "Normal", "", -1), ("A", "a", "B", -1), ("B", "b", "A", -1), ("Heading7", "x", "", -1)]
-_STYLE_ROWS = ", ".join(f"('{a}', '{b}', '{c}', {n})" for a, b, c, n in _STYLES)
+_NAMES = ["Title", "heading 1", "Section", "Heading  7", "Body", "Outlined"]
 
 
-@query(f"""WITH RECURSIVE s(style_id, name, based_on, lvl) AS (VALUES {_STYLE_ROWS}),
-o AS (SELECT style_id, based_on, CASE WHEN lower(style_id) = 'title' THEN 1 WHEN regexp_matches(lower(style_id), '^heading ?[1-9]$') THEN right(style_id, 1)::INT WHEN lower(name) = 'title' THEN 1 WHEN regexp_matches(lower(name), '^heading ?[1-9]$') THEN right(name, 1)::INT WHEN lvl BETWEEN 0 AND 8 THEN lvl + 1 END AS own FROM s),
-c(style_id, level, nxt, hops) AS (SELECT style_id, own, based_on, 0 FROM o UNION ALL SELECT c.style_id, o.own, o.based_on, hops + 1 FROM c JOIN o ON o.style_id = c.nxt WHERE c.level IS NULL AND hops < 10)
-SELECT style_id, coalesce(max(level), 0) AS level FROM c GROUP BY 1""")
+@query(rf"""WITH RECURSIVE s AS (SELECT l_orderkey, 'S' || l_linenumber AS style_id, list_extract({_sql_list(_NAMES)}, (l_partkey % 6 + 1)::INT) AS name, CASE l_suppkey % 5 WHEN 0 THEN 'Heading3' WHEN 1 THEN '' ELSE 'S' || (l_linenumber + (l_suppkey % 3) - 1) END AS based_on, CASE WHEN l_partkey % 6 = 5 THEN l_suppkey % 11 ELSE -1 END AS lvl FROM lineitem),
+u AS (SELECT l_orderkey, style_id, min(name) AS name, min(based_on) AS based_on, min(lvl) AS lvl FROM s GROUP BY 1, 2),
+o AS (SELECT l_orderkey, style_id, based_on, CASE WHEN lower(name) = 'title' THEN 1 WHEN regexp_matches(lower(name), '^heading\s*[1-9]$') THEN right(name, 1)::INT WHEN lvl BETWEEN 0 AND 8 THEN lvl + 1 END AS own FROM u),
+c AS (SELECT l_orderkey, style_id, own AS level, based_on AS nxt, 1 AS looked FROM o UNION ALL SELECT c.l_orderkey, c.style_id, CASE WHEN o.style_id IS NULL AND c.nxt = 'Heading3' THEN 3 ELSE o.own END, o.based_on, looked + 1 FROM c LEFT JOIN o ON o.style_id = c.nxt AND o.l_orderkey = c.l_orderkey WHERE c.level IS NULL AND coalesce(c.nxt, '') <> '' AND looked < 10)
+SELECT l_orderkey, style_id, coalesce(max(level), 0)::INT AS level FROM c GROUP BY 1, 2""")
 def style_chain(spark, d):
-    return A.heading_levels(spark.createDataFrame(_STYLES, "style_id string, name string, based_on string, outline_lvl int"))
-
-
-_NUMBERS, _LEVELS = [("1", "10"), ("2", "20"), ("3", "99")], [("10", "0", "bullet"), ("10", "1", "decimal"), ("20", "0", "lowerRoman")]
-_PARAS = [(i, n, v) for i, (n, v) in enumerate([("1", "0"), ("1", "1"), ("1", "2"), ("2", "0"), ("3", "0"), ("0", "0"), ("", "0"), (None, "0"), ("7", "0")])]
-
-
-@query(f"""WITH p(para, num_id, ilvl) AS (VALUES {', '.join(f"({i}, {'NULL' if n is None else repr(n)}, '{v}')" for i, n, v in _PARAS)}), n(num_id, abstract_id) AS (VALUES {', '.join(map(str, _NUMBERS))}), l(abstract_id, ilvl, fmt) AS (VALUES {', '.join(map(str, _LEVELS))})
-SELECT para, p.num_id, p.ilvl, CASE WHEN coalesce(p.num_id, '') IN ('', '0') OR NOT EXISTS (SELECT 1 FROM l x WHERE x.abstract_id = n.abstract_id) THEN NULL WHEN coalesce(fmt, 'bullet') = 'bullet' THEN 'bullet' ELSE 'ordered' END AS kind
-FROM p LEFT JOIN n ON n.num_id = p.num_id LEFT JOIN l ON l.abstract_id = n.abstract_id AND l.ilvl = p.ilvl""")
+    """The lines of an order as its styles: chains, cycles, a base that is not there, outline levels."""
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("l_partkey") % 6 + 1).cast("int"))
+    base = F.when(F.col("l_suppkey") % 5 == 0, "Heading3").when(F.col("l_suppkey") % 5 == 1, "").otherwise(F.concat(F.lit("S"), (F.col("l_linenumber") + F.col("l_suppkey") % 3 - 1).cast("int").cast("string")))
+    level = F.when(F.col("l_partkey") % 6 == 5, F.col("l_suppkey") % 11).otherwise(-1)
+    s = t(spark, d, "lineitem").groupBy("l_orderkey", F.concat(F.lit("S"), F.col("l_linenumber").cast("string")).alias("style_id")).agg(F.min(name).alias("name"), F.min(base).alias("based_on"), F.min(level).alias("outline_lvl"))
+    return A.heading_levels(s, keys=("l_orderkey",))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey, (l_partkey % 4)::VARCHAR AS num_id, (l_suppkey % 3)::VARCHAR AS ilvl FROM lineitem),
+n AS (SELECT l_orderkey, l_linenumber::VARCHAR AS num_id, min((l_linenumber % 2)::VARCHAR) AS abstract_id FROM lineitem GROUP BY 1, 2),
+f AS (SELECT l_orderkey, (l_linenumber % 2)::VARCHAR AS abstract_id, '0' AS ilvl, min(CASE l_returnflag WHEN 'A' THEN 'bullet' WHEN 'N' THEN 'decimal' ELSE '' END) AS num_fmt FROM lineitem WHERE l_linenumber < 3 GROUP BY 1, 2)
+SELECT l.l_orderkey, l.num_id, l.ilvl, CASE WHEN l.num_id = '0' OR n.num_id IS NULL THEN NULL WHEN coalesce(num_fmt, '') IN ('', 'bullet') THEN 'bullet' ELSE 'ordered' END AS kind
+FROM l LEFT JOIN n ON n.l_orderkey = l.l_orderkey AND n.num_id = l.num_id LEFT JOIN f ON f.l_orderkey = l.l_orderkey AND f.abstract_id = n.abstract_id AND f.ilvl = l.ilvl""")
 def list_kind(spark, d):
-    return A.list_kinds(spark.createDataFrame(_PARAS, "para int, num_id string, ilvl string"), spark.createDataFrame(_NUMBERS, "num_id string, abstract_id string"), spark.createDataFrame(_LEVELS, "abstract_id string, ilvl string, num_fmt string")).select("para", "num_id", "ilvl", "kind")
+    """The lines of an order as its list paragraphs, numbers and levels, some of which are not defined."""
+    s = t(spark, d, "lineitem").withColumn("abstract_id", (F.col("l_linenumber") % 2).cast("string"))
+    paras = s.select("l_orderkey", (F.col("l_partkey") % 4).cast("string").alias("num_id"), (F.col("l_suppkey") % 3).cast("string").alias("ilvl")).distinct()
+    numbers = s.groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("num_id")).agg(F.min("abstract_id").alias("abstract_id"))
+    fmt = F.min(F.when(F.col("l_returnflag") == "A", "bullet").when(F.col("l_returnflag") == "N", "decimal").otherwise(""))
+    levels = s.where("l_linenumber < 3").groupBy("l_orderkey", "abstract_id", F.lit("0").alias("ilvl")).agg(fmt.alias("num_fmt"))
+    return A.list_kinds(paras, numbers, levels, ("l_orderkey",)).select("l_orderkey", "num_id", "ilvl", "kind")
 
 
-@query("SELECT l.stream_id, l.rel_id, r.href FROM (SELECT DISTINCT stream_id, collection AS rel_id FROM stream_info) l LEFT JOIN (SELECT collection, min(url) AS href FROM stream_info WHERE url <> '' GROUP BY 1) r ON r.collection = l.rel_id")
+@query("SELECT l.result_id, l.stream_id AS rel_id, r.href FROM results l LEFT JOIN (SELECT stream_id, min(url) AS href FROM stream_info WHERE url <> '' GROUP BY 1) r ON r.stream_id = l.stream_id")
 def rel_lookup(spark, d):
-    """Links to external targets; the relationships of a collection are its urls."""
-    s = t(spark, d, "stream_info")
-    rels = s.where("url <> ''").groupBy(F.col("collection").alias("id")).agg(F.min("url").alias("target")).withColumn("external", F.lit(True))
-    return A.external_links(s.select("stream_id", F.col("collection").alias("rel_id")).distinct(), rels).select("stream_id", "rel_id", "href")
+    """Links to external targets: a result's stream is its relationship, the stream's url the target."""
+    rels = t(spark, d, "stream_info").where("url <> ''").groupBy(F.col("stream_id").alias("id")).agg(F.min("url").alias("target")).withColumn("external", F.lit(True))
+    return A.external_links(t(spark, d, "results").select("result_id", F.col("stream_id").alias("rel_id")), rels).select("result_id", "rel_id", "href")
 
 
 # --- whole conversions -----------------------------------------------------------------------------------------------
@@ -388,12 +399,12 @@ def convert_plain_text(spark, d):
     return convert(src).select("doc_id", "markdown", "title", "converter")
 
 
-@query("SELECT c_mktsegment, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || c_custkey || ' | ' || c_name || ' |', chr(10) ORDER BY c_custkey) || chr(10) AS markdown, 'csv' AS converter FROM customer GROUP BY 1")
+@query("SELECT o_custkey, '| key | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) || chr(10) AS markdown, 'csv' AS converter FROM orders GROUP BY 1")
 def convert_csv(spark, d):
-    """The engine over one CSV stream for each market segment."""
-    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('"'))
-    text = t(spark, d, "customer").groupBy("c_mktsegment").agg(F.concat(F.lit("key,name\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), "\n")).alias("text"))
-    return convert(text.select("c_mktsegment", F.encode("text", "UTF-8").alias("content"), F.lit(".csv").alias("extension"))).select("c_mktsegment", "markdown", "converter")
+    """The engine over one CSV stream for each customer."""
+    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"'), "o_orderstatus", F.lit('"'))
+    text = t(spark, d, "orders").groupBy("o_custkey").agg(F.concat(F.lit("key,status\n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", line.alias("l")))), lambda x: x["l"]), "\n")).alias("text"))
+    return convert(text.select("o_custkey", F.encode("text", "UTF-8").alias("content"), F.lit(".csv").alias("extension"))).select("o_custkey", "markdown", "converter")
 
 
 @query("""SELECT n_nationkey, '# ' || n_name || chr(10) || chr(10) || '**' || r_name || '** is the region' || chr(10) || chr(10) || '- key ' || n_nationkey || chr(10) || '- region ' || n_regionkey || chr(10) AS markdown, n_name AS title, 'html' AS converter FROM nation JOIN region ON r_regionkey = n_regionkey""")
