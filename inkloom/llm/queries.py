@@ -70,8 +70,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return toxicity.toxicity_scores(docs, toxicity.fit(docs, table(spark, d, "labels")))
+    pages = toxicity.window_table(table(spark, d, "documents"))
+    return toxicity.toxicity_scores(pages, toxicity.fit(pages, table(spark, d, "labels")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

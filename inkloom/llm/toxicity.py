@@ -2,19 +2,26 @@
 
 Method: non-negative positive-unlabelled learning. A page is toxic through one passage among many, so its windows
 (sentences, in reading order) are the instances: those of confirmed toxic pages that speak most for it are the
-positives, windows of a sample of all pages the unlabelled set. A linear classifier over word and word-pair features is
+positives; all windows of all labelled pages, their labels left aside, are the unlabelled set. A linear classifier is
 trained in numpy on the class-prior-corrected non-negative risk, the positives are chosen again with it, and
 the prior is taken from its own predictions. A document's score is that of its highest window.
 
-Bounded samples, both parameters: about MAX_LABELLED labelled and MAX_UNLABELLED other documents are used for
-fitting; every document is scored, whole.
+Features are words and pairs of neighbours that give evidence - they are on far more confirmed pages than their
+count over all documents lets expect - and, in windows with any evidence, the words beside it, which tell a report,
+a defence or a trade from abuse. A window without evidence has the classifier's bias as its score; such windows
+are all alike and enter the risk by their number.
+
+One bounded sample, a parameter: about MAX_LABELLED labelled documents are used for fitting. The counts of features
+cover all documents, and every document is scored, whole.
 
 Defined results: null, empty and blank texts score 0 and are no cases; a document with differing labels counts as
-toxic when at least half of its labels say so; without any positive label nothing is found.
+toxic when at least half of its labels say so; without a positive label, or with so few that no feature gives
+evidence, nothing is found and a warning is logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 from collections import Counter
@@ -25,18 +32,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.llm.common import scratch_path
 from inkloom.llm.confusions import skeleton
 from inkloom.llm.leaks import _columns, page_texts
 
-MAX_LABELLED, MAX_UNLABELLED = 4_000, 3_000
-ROUNDS, EPOCHS, RATE, L2 = 3, 120, 0.05, 3e-5
-#: A feature speaks for the class when it is on so many times the expected number of pages, and the logarithm of
-#: the chance (Poisson) of that many pages is below this.
-RATIO, CHANCE = 5.0, -9.5
+MAX_LABELLED = 4_000
+ROUNDS, EPOCHS, RATE, L2 = 3, 120, 0.05, 3e-6
+#: A feature speaks for the class when it is on so many times the expected number of confirmed pages, at least on
+#: so many, and the chance (Poisson) of that many is below one in the number of features tried.
+RATIO, LEAST_PAGES = 5.0, 3
+#: The least class prior.
+LEAST_PRIOR = 5e-4
 #: How much of the best F1 on held-out pages may be given up for a higher threshold.
 SLACK = 0.012
 #: A threshold is not taken below this share of the usual score of confirmed pages.
-LEAST_SHARE = 0.33
+LEAST_SHARE = 0.2
 NUMBER = re.compile(r"(?<!\w)[£$€]?\d[\d,.]*(?:st|nd|rd|th|s|d)?(?!\w)")
 SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 WORD = re.compile(r"[^\W_]+")
@@ -93,30 +103,42 @@ def features(words: list[str]) -> set[str]:
     return out
 
 
-#: The score of a window without any feature that speaks for the class.
+class Vocabulary:
+    """Features by number, and which of them a window has."""
+
+    def __init__(self, names: list[str]):
+        self.index = {f: i for i, f in enumerate(names)}
+        self.firsts = {f.split(" ", 1)[0] for f in names if " " in f}
+
+    def of(self, words: list[str]) -> set[int]:
+        index, firsts = self.index, self.firsts
+        out = {index[w] for w in words if w in index}
+        for a, b in zip(words, words[1:]):
+            if a in firsts and (k := index.get(f"{a} {b}")) is not None:
+                out.add(k)
+        return out
+
+
+#: The score of a text without any window.
 NO_CASE = -50.0
 
 
 class Model:
-    """Feature weights, a bias and the score from which a document is a case."""
+    """Feature weights, which of the features give evidence, a bias and the score from which a document is a case."""
 
-    def __init__(self, weights: dict[str, float], bias: float, threshold: float = 0.0):
-        self.weights, self.bias, self.threshold = weights, bias, threshold
-        self.speaking: frozenset[str] = frozenset()
-        self.single = {k: v for k, v in weights.items() if " " not in k}
+    def __init__(self, weights: dict[str, float], speaking: set[str], bias: float, threshold: float = 0.0):
+        self.vocabulary = Vocabulary(list(weights))
+        self.weights = list(weights.values())
+        self.speaking = frozenset(i for f, i in self.vocabulary.index.items() if f in speaking)
+        self.bias, self.threshold = bias, threshold
 
     def score(self, words: list[str]) -> float:
-        single, speaking = self.single, self.speaking
-        own = set(words)
-        pairs = {" ".join(p) for p in zip(words, words[1:])}
-        if speaking.isdisjoint(own) and speaking.isdisjoint(pairs):
-            return NO_CASE
-        weights = self.weights
-        return self.bias + sum(single[w] for w in own if w in single) + sum(weights[p] for p in pairs if p in weights)
+        own = self.vocabulary.of(words)
+        return self.bias + (0.0 if self.speaking.isdisjoint(own) else sum(self.weights[i] for i in own))
 
-    def document(self, text: str | None) -> float:
-        """Logit of the highest window."""
-        return max((self.score(w) for w in windows(text or "")), default=NO_CASE)
+    def page(self, page: list[list[str]]) -> float:
+        """Logit of the highest of a page's windows."""
+        return max(map(self.score, page), default=NO_CASE)
 
 
 def _sparse(rows: list[set[str]], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,26 +160,24 @@ def _push(data: tuple[np.ndarray, np.ndarray], g: np.ndarray, n: int) -> np.ndar
     return np.bincount(cols, np.repeat(g, np.diff(at)), n)
 
 
-def fit_nnpu(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray], n: int, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Linear weights minimising the non-negative PU risk with logistic loss, by full-batch Adam."""
+def fit_nnpu(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarray], plain: int, n: int, prior: float, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Linear weights minimising the non-negative PU risk with logistic loss, by full-batch Adam.
+
+    The unlabelled set are the rows of unl and as many without any feature as plain says.
+    """
     w, bias = np.zeros(n), -3.0
     m, v, t = np.zeros(n + 1), np.zeros(n + 1), 0
-    n_pos, n_unl = len(pos[1]) - 1, len(unl[1]) - 1
+    n_pos, n_unl = len(pos[1]) - 1, len(unl[1]) - 1 + plain
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for _ in range(epochs):
         zp, zu = _logits(pos, w, bias), _logits(unl, w, bias)
-        sp, su = sigmoid(zp), sigmoid(zu)
-        risk_unl, risk_pos_neg = np.mean(np.logaddexp(0, zu)), np.mean(np.logaddexp(0, zp))
-        negative = risk_unl - prior * risk_pos_neg
-        gp = prior * (sp - 1) / n_pos
-        gu = np.zeros(n_unl)
-        if negative >= 0:
-            gu = su / n_unl
-            gp = gp - prior * sp / n_pos
-        else:
-            gu = -su / n_unl
-            gp = gp + prior * sp / n_pos
-        grad = np.append(_push(pos, gp, n) + _push(unl, gu, n) + L2 * w, gp.sum() + gu.sum())
+        sp, su, s0 = sigmoid(zp), sigmoid(zu), plain * sigmoid(bias)
+        risk_unl = (np.logaddexp(0, zu).sum() + plain * np.logaddexp(0, bias)) / n_unl
+        # Where the estimated risk of the negatives falls below zero its gradient is turned round.
+        sign = 1 if risk_unl >= prior * np.mean(np.logaddexp(0, zp)) else -1
+        gp = prior * ((sp - 1) - sign * sp) / n_pos
+        gu = sign * su / n_unl
+        grad = np.append(_push(pos, gp, n) + _push(unl, gu, n) + L2 * w, gp.sum() + gu.sum() + sign * s0 / n_unl)
         t += 1
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
@@ -167,73 +187,96 @@ def fit_nnpu(pos: tuple[np.ndarray, np.ndarray], unl: tuple[np.ndarray, np.ndarr
     return w, float(bias)
 
 
-Page = list[set[str]]
+#: A page is the word lists of its windows.
+Page = list[list[str]]
 
 
-def page_counts(texts: list[str], only=None) -> Counter:
-    """On how many pages each feature is; of all features or only of those given."""
+def page_counts(pages: list[Page]) -> Counter:
+    """On how many pages each feature is."""
     out: Counter = Counter()
-    for t in texts:
-        seen = set().union(*map(features, windows(t)))
-        out.update(seen if only is None else seen & only)
+    for p in pages:
+        out.update(set().union(*map(features, p)))
     return out
 
 
-def speaking_features(in_pos: Counter, n_pos: int, on_unl: Counter, n_unl: int) -> dict[str, float]:
-    """Features on far more pages of the class than chance would have it, with the log of the excess."""
+def speaking_features(on_pos: Counter, n_pos: int, on_all: dict[str, int], n_all: int, tried: int) -> dict[str, float]:
+    """Features on far more pages of the class than their count on all other pages lets expect, with the log of the excess."""
     out: dict[str, float] = {}
-    for f, n in in_pos.items():
-        expected = n_pos * (on_unl[f] + 0.5) / max(1, n_unl)
-        if n >= 3 and n > RATIO * expected and n * math.log(expected) - expected - math.lgamma(n + 1) < CHANCE:
+    for f, n in on_pos.items():
+        expected = n_pos * (max(0, on_all.get(f, 0) - n) + 0.5) / max(1, n_all - n_pos)
+        if n >= LEAST_PAGES and n > RATIO * expected and n * math.log(expected) - expected - math.lgamma(n + 1) < -math.log(max(2, tried)):
             out[f] = math.log(n / expected)
     return out
 
 
-def shown_windows(texts: list[str], speaks) -> list[Page]:
-    """The features of the windows that hold any speaking feature, by page; the others are never a case."""
-    return [[r for r in map(features, windows(t)) if not speaks.isdisjoint(r)] for t in texts]
-
-
 def train(positives: list[Page], unlabelled: list[Page], speaks: dict[str, float]) -> Model | None:
-    """A model from the shown windows of confirmed toxic pages and of unlabelled ones."""
+    """A model from the pages confirmed as toxic and the windows of unlabelled ones."""
     keys = speaks.keys()
-    pages = [p for p in ([r for r in p if not keys.isdisjoint(r)] for p in positives) if p]
-    rows = [r for p in unlabelled for r in p if not keys.isdisjoint(r)]
+    with_evidence = lambda page: [r for r in map(features, page) if not keys.isdisjoint(r)]
+    pages = [p for p in map(with_evidence, positives) if p]
+    rows = [r for p in unlabelled for r in with_evidence(p)]
+    n_all = sum(map(len, unlabelled))
     if not pages:
         return None
-    rows = rows or [set()]
     value = [[sum(sorted((speaks[f] for f in r if f in speaks), reverse=True)[:5]) for r in p] for p in pages]
-    # Words beside them tell a use of them from a report, a defence or a trade: context of both sets is kept.
     beside = Counter(f for r in rows for f in r)
-    beside.update(f for p in pages for r in p for f in r)
     index = {f: i for i, f in enumerate(dict.fromkeys([*speaks, *(f for f, n in beside.items() if n >= 6)]))}
     data_unl = _sparse(rows, index)
-    prior, w, bias, last, used = 0.1, None, 0.0, [], 0.1
+    used = prior = max(LEAST_PRIOR, 0.1 * len(rows) / max(1, n_all))
+    w, bias, last = None, 0.0, []
     for turn in range(ROUNDS):
         chosen = []
         if turn:
             value = [_logits(_sparse(p, index), w, bias).tolist() for p in pages]
-        for p, v in zip(pages, value):
+        for p, v in zip(pages, value, strict=True):
             top = max(v)
             if top > 0:  # a page without any is most likely labelled wrongly
-                chosen.extend(r for r, x in zip(p, v) if x == top or x > 0.6 * top)
+                chosen.extend(r for r, x in zip(p, v, strict=True) if x == top or x > 0.6 * top)
         if not chosen and not last:
             return None
         if not chosen:
             # The class is more frequent in the unlabelled set than was taken: again with a higher prior.
             chosen, prior = last, min(0.9, 4 * used)
         last, used = chosen, prior
-        w, bias = fit_nnpu(_sparse(chosen, index), data_unl, len(index), prior)
-        prior = min(0.6, max(0.01, float(np.mean(_logits(data_unl, w, bias) > 0))))
-    model = Model({f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02}, bias)
-    model.speaking = frozenset(speaks)
-    return model
+        w, bias = fit_nnpu(_sparse(chosen, index), data_unl, n_all - len(rows), len(index), prior)
+        prior = min(0.6, max(LEAST_PRIOR, float(np.sum(_logits(data_unl, w, bias) > 0)) / max(1, n_all)))
+    return Model({f: float(w[i]) for f, i in index.items() if f in speaks or abs(w[i]) > 0.02}, set(speaks), bias)
 
 
-def _texts(docs: DataFrame) -> list[tuple]:
-    """(doc_id, running text) of a bounded set of documents."""
-    rows = _columns(docs).toArrow().to_batches()
-    return [(i, t) for b in rows for i, t in zip(b.column(0).to_pylist(), page_texts(b), strict=True)]
+def window_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, windows): the folded windows of every document, written once, as counts and scores both read them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_columns
+            rows = [[" ".join(w) for w in windows(t)] for t in page_texts(batch.select(range(n - 1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(n - 1), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "source", "windows"])
+
+    data = _with_source(docs) if "source" in docs.columns else _columns(docs).withColumn("source", F.lit(None).cast("string"))
+    schema = "doc_id long, source string, windows array<string>"
+    path = scratch_path(docs.sparkSession, "p9-windows")
+    data.mapInArrow(run, schema).write.parquet(path)
+    return docs.sparkSession.read.schema(schema).parquet(path)
+
+
+def corpus_counts(table: DataFrame, names: list[str]) -> dict[str, int]:
+    """On how many of all documents each of the named features is: counted by partition, then added up by feature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary(names)
+        total = np.zeros(len(names), np.int64)
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                seen: set[int] = set()
+                for w in page:
+                    seen |= known.of(w.split(" "))
+                if seen:
+                    total[list(seen)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
+
+    rows = table.select("windows").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    return {names[r[0]]: r[1] for r in rows}
 
 
 def hash_sample(df: DataFrame, key: str, n_rows: int, most: int) -> DataFrame:
@@ -244,48 +287,41 @@ def hash_sample(df: DataFrame, key: str, n_rows: int, most: int) -> DataFrame:
     return df.where(F.xxhash64(key) < F.lit(below))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """The model and its threshold, from labelled documents and a sample of the others, both bounded."""
+def fit(table: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model | None:
+    """The model and its threshold, from the window table and a bounded sample of the labelled documents."""
     votes = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("toxic"))
-    texts = docs.where("text is not null and trim(text) <> ''")
     labelled = {r[0]: r[1] >= 0.5 for r in hash_sample(votes, "doc_id", labels.count(), max_labelled).collect()}
-    if not any(labelled.values()):
-        return None
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(k,) for k in labelled], "doc_id long")
-    with_label = dict(_texts(texts.join(F.broadcast(ids), "doc_id", "left_semi")))
-    unlabelled = [t for i, t in _texts(hash_sample(texts, "doc_id", docs.count(), max_unlabelled)) if i not in with_label]
-    pos = [k for k, y in labelled.items() if y and k in with_label]
-    neg = [k for k, y in labelled.items() if not y and k in with_label]
-    return fit_texts([with_label[k] for k in pos], [with_label[k] for k in neg], unlabelled)
+    ids = table.sparkSession.createDataFrame([(k,) for k in labelled], "doc_id long")
+    pages = {r[0]: [w.split(" ") for w in r[1]] for r in table.where("size(windows) > 0").join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "windows").collect()}
+    pos = [pages[k] for k in sorted(pages) if labelled[k]]
+    neg = [pages[k] for k in sorted(pages) if not labelled[k]]
+    candidates = [f for f, n in page_counts(pos).items() if n >= LEAST_PAGES]
+    model = fit_pages(pos, neg, corpus_counts(table, candidates), table.where("size(windows) > 0").count()) if candidates else None
+    if model is None:
+        logging.getLogger(__name__).warning("p9: %d confirmed pages give no feature that speaks for the class; nothing will be found", len(pos))
+    return model
 
 
-def fit_texts(pos: list[str], neg: list[str], unlabelled: list[str]) -> Model | None:
+def fit_pages(pos: list[Page], neg: list[Page], on_all: dict[str, int], n_all: int) -> Model | None:
     """The model with its threshold, which is taken from documents that the scoring model has not seen: two halves."""
     part = lambda x, half: [t for i, t in enumerate(x) if i % 2 != half]
-    halves = [page_counts(part(pos, h)) for h in (0, 1)]
-    both = Counter({f: n for f, n in (halves[0] + halves[1]).items() if n >= 3})
-    plain = page_counts(unlabelled, both.keys())
-    against_halves = [page_counts(part(neg, h), both.keys()) for h in (0, 1)]
-    size = lambda x, h: len(part(x, h))
-    sets = [speaking_features(halves[h], size(pos, h), plain + against_halves[h], len(unlabelled) + size(neg, h)) for h in (0, 1)]
-    sets.append(speaking_features(both, len(pos), plain + against_halves[0] + against_halves[1], len(unlabelled) + len(neg)))
-    union = frozenset().union(*sets)
-    pages, others, against = (shown_windows(x, union) for x in (pos, unlabelled, neg))
+    counts = [page_counts(part(pos, h)) for h in (0, 1)]
+    tried = len(on_all)
     held: list[tuple[float, bool]] = []
     for half in (0, 1):
-        model = train(part(pages, half), others + part(against, half), sets[half])
+        speaks = speaking_features(counts[half], len(part(pos, half)), on_all, n_all, tried)
+        model = train(part(pos, half), part(neg, half) + part(pos, half), speaks)
         if model:
-            held += [(model.document(t), y) for own, y in ((pos, True), (neg, False)) for i, t in enumerate(own) if i % 2 == half]
-    model = train(pages, others + against, sets[2])
+            held += [(model.page(p), y) for own, y in ((pos, True), (neg, False)) for i, p in enumerate(own) if i % 2 == half]
+    model = train(pos, neg + pos, speaking_features(counts[0] + counts[1], len(pos), on_all, n_all, tried))
     if model:
-        own = sorted(x for x in map(model.document, pos) if x > NO_CASE)
+        own = sorted(x for x in map(model.page, pos) if x > model.bias)
         usual = own[len(own) // 2] if own else 0.0
-        model.threshold = max(best_threshold(held), LEAST_SHARE * usual)
+        model.threshold = max(best_threshold(held, model.bias), LEAST_SHARE * usual)
     return model
 
 
-def best_threshold(held: list[tuple[float, bool]], slack: float = SLACK) -> float:
+def best_threshold(held: list[tuple[float, bool]], least: float = NO_CASE, slack: float = SLACK) -> float:
     """The highest score at which the F1 on held-out documents is within the slack of its best.
 
     Highest, as labelled documents are richer in cases than the corpus, where false ones weigh more; the
@@ -297,25 +333,23 @@ def best_threshold(held: list[tuple[float, bool]], slack: float = SLACK) -> floa
     for i, (s, y) in enumerate(order):
         hit += y
         nxt = order[i + 1][0] if i + 1 < len(order) else s - 1
-        if s > NO_CASE and s > nxt:
+        if s > least and s > nxt:
             curve.append((2 * hit / (i + 1 + total), (s + max(nxt, s - 2)) / 2))
     best = max((f for f, _ in curve), default=0.0)
     return next((at for f, at in curve if f >= best - slack), 0.0)
 
 
-def toxicity_scores(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, source, score, toxic) of every document; score is between 0 and 1, one half at the threshold."""
+def toxicity_scores(table: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, source, score, toxic) of every document of the window table; score is between 0 and 1, one half at the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_columns
-            texts = page_texts(batch.select(range(n - 1)))
-            raw = [model.document(t) - model.threshold if model and t else -60.0 for t in texts]
+            pages = ([w.split(" ") for w in p] for p in batch.column(2).to_pylist())
+            raw = [model.page(p) - model.threshold if model and p else -60.0 for p in pages]
             score = [0.0 if r < -50 else float(1 / (1 + np.exp(-r))) for r in raw]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(n - 1), pa.array(score, pa.float64()), pa.array([r >= 0 for r in raw])], names=["doc_id", "source", "score", "toxic"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array([r >= 0 for r in raw])], names=["doc_id", "source", "score", "toxic"])
 
-    data = _columns(docs).withColumn("source", F.lit(None).cast("string")) if "source" not in docs.columns else _with_source(docs)
-    return data.mapInArrow(run, "doc_id long, source string, score double, toxic boolean")
+    return table.select("doc_id", "source", "windows").mapInArrow(run, "doc_id long, source string, score double, toxic boolean")
 
 
 def _with_source(docs: DataFrame) -> DataFrame:

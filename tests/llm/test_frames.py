@@ -96,7 +96,7 @@ def test_p8_recall_against_brute_force(spark):
     """At least 0.9 of what verification of every item against every whole document accepts."""
     docs, items = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/eval_items.parquet")
     known = [(r[0], r[1]) for r in items.where("text is not null").select("item_id", "text").collect()]
-    texts = dict(toxicity._texts(docs))
+    texts = {i: t for b in leaks._columns(docs).toArrow().to_batches() for i, t in zip(b.column(0).to_pylist(), leaks.page_texts(b), strict=True)}
     want = leaks.brute_force(texts, known)
     got = set(rows(leaks.leaked_items(docs, items)))
     assert len(got & want) >= 0.9 * len(want)
@@ -116,14 +116,16 @@ def test_p9(spark):
     good, bad = "The market opens on Monday near the bridge. ", "You are a worthless swine and a brute, sir. "
     docs = spark.createDataFrame([(i, (good * 3 + (bad if i % 5 == 0 else "") + f"Number {i} passed by. "), "s") for i in range(200)] + [(900, None, None), (901, "", "s")], "doc_id long, text string, source string")
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, 200, 2)] + [(4, 0), (None, 1), (6, None)], "doc_id long, toxic int")
-    model = toxicity.fit(docs, labels)
-    scores = toxicity.toxicity_scores(docs, model)
+    pages = toxicity.window_table(docs)
+    assert toxicity.corpus_counts(pages, ["swine", toxicity.windows("worthless swine")[0][0], "no such"]).get("no such") is None
+    model = toxicity.fit(pages, labels)
+    scores = toxicity.toxicity_scores(pages, model)
     found = {r["doc_id"] for r in scores.where("toxic").collect()}
     assert found == {i for i in range(0, 200, 5)}
     rates = {r["source"]: r for r in toxicity.source_rates(scores).collect()}
     assert rates["s"]["n_toxic"] == 40 and rates[None]["rate"] == 0.0
-    none = toxicity.toxicity_scores(docs, toxicity.fit(docs, labels.where("toxic = 0")))
-    assert none.where("toxic").count() == 0
+    none = toxicity.toxicity_scores(pages, toxicity.fit(pages, labels.where("toxic = 0")))
+    assert none.where("toxic").count() == 0 and toxicity.window_table(docs.where("false")).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")

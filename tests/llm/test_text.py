@@ -209,15 +209,16 @@ def test_toxicity_model():
     filler = ["The market opens on Monday near the old bridge.", "Rain fell on the town before noon today.", "A prize was given to the best of the gardeners.", "The council met and the roof was repaired."]
     bad = ["You are a worthless swine and a brute.", "Shut your mouth, you worthless brute.", "Go to hell, you filthy swine."]
     trap = ["The swine of the farmer were sold on Friday.", "He was fined for having shouted abuse."]
-    page = lambda extra: " ".join(r.sample(filler * 3, 8) + extra)
+    page = lambda extra: toxicity.windows(" ".join(r.sample(filler * 3, 8) + extra))
     pos = [page([r.choice(bad)]) for _ in range(60)]
     neg = [page([r.choice(trap)]) for _ in range(60)]
     unl = [page([r.choice(trap)] if i % 3 == 0 else []) for i in range(300)]
-    model = toxicity.fit_texts(pos, neg, unl)
-    assert sum(model.document(t) >= model.threshold for t in pos) >= 55
-    assert sum(model.document(t) >= model.threshold for t in neg) <= 3
-    assert model.document(None) == model.document("") == toxicity.NO_CASE
-    assert toxicity.fit_texts([], neg, unl) is None
+    on_all = toxicity.page_counts(pos[:9] + neg + unl)
+    model = toxicity.fit_pages(pos, neg, on_all, 9 + len(neg) + len(unl))
+    assert sum(model.page(t) >= model.threshold for t in pos) >= 55
+    assert sum(model.page(t) >= model.threshold for t in neg) <= 3
+    assert model.page([]) == toxicity.NO_CASE and model.score(["market"]) == model.bias < model.threshold
+    assert toxicity.fit_pages([], neg, on_all, 400) is None
     assert toxicity.best_threshold([(3.0, True), (1.0, False)]) == 2.0
 
 
