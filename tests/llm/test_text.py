@@ -80,6 +80,29 @@ def test_mojibake_round_trip():
     assert mojibake.is_garbled("The word ��� was") and mojibake.restore("a �") == "a �"
 
 
+@pytest.mark.parametrize("used", [*mojibake.SINGLE, *mojibake.DOUBLE])
+def test_utf8_read_by_any_charset(used):
+    """Every pair: found, and restored where the charset has read all bytes; sound lines beside it stay."""
+    texts = ["Les élèves ont été déplacés à midi.", "Наши рынки уже открыты.", "新しい駅は昨日開かれたと言う。", "Zażółć gęślą jaźń."]
+    for text in texts:
+        raw = text.encode()
+        if used in mojibake.SINGLE:
+            bad = "".join(mojibake.from_byte(used).get(x, chr(x)) if x > 127 else chr(x) for x in raw)
+        else:
+            bad = raw.decode(used, "replace")
+        page = f"A sound line.\n{bad}\nEin schöner Satz.\n"
+        if "\ufffd" not in bad:
+            assert mojibake.restore(page) == page.replace(bad, text), (used, bad)
+        assert mojibake.is_garbled(page), (used, bad)
+    for sound in ("新しい駅は昨日開かれた。ＡＢＣ、カタカナ", "这是一个中文的文本文件，在人民的国家。", "한국어 문장입니다. 안녕하세요", "「東京」とTokyoと大阪", "a漢字b", "茅葺き屋根の家", "中国China和日本Japan"):
+        assert not mojibake.is_garbled(sound), sound
+
+
+def test_declared_charset_decides():
+    assert mojibake.charset_named("ISO-8859-5") == "iso8859-5" and mojibake.charset_named("no such") is None and mojibake.charset_named(None) is None
+    assert mojibake._single_byte_pair(["Stra\u00e1e"], "cp850")[1] == "cp850"
+
+
 SCORES = lookalike.Scores(Counter(zip("thequickbrownfoxpaidtheratesshould" * 3, "hequickbrownfoxpaidtheratesshouldt" * 3)))
 
 
