@@ -1,11 +1,13 @@
 """Problem 3: the main body of web pages, without navigation, notices, sidebars and footers.
 
-Method: consensus per host. Each page is cut into containers (Markdown has no tags, so a container is a block:
+Method: consensus host paths. Each page is cut into containers (Markdown has no tags, so a container is a block:
 heading, list, table, link bar, text), scored by link share, sentence form and place about the headline. A
-container's generalised path is its lead line's first sentence without marks, targets and years. Pages vote in
-Spark: a path that returns on a good part of its host's pages, or of all pages on several hosts, is furniture.
-Then pages are extracted again: sure containers by their score, the others by the winning paths. Pages of
-hosts that occur once are decided by the votes of all hosts.
+container's path is its zone about the headline and its shape: kind, level, share and targets of links, bars, size.
+Pages vote in Spark with the scores of their containers: for each host and path the share of furniture among
+them; a path of which a host has few containers, and hosts that occur once, take the vote of all hosts. Then
+pages are extracted again: a container goes by the vote on its path where that is clear, else by its own score.
+Containers that are like body by their shape are voted on by their words: a lead line's first sentence without
+marks, targets and years that returns on a good part of its host's pages, or of all pages, is furniture.
 
 Defined results: null or empty Markdown has no lines and no case; a missing url means a host of its own
 without name; ties do not arise, as votes are thresholds; repeated records count each for themselves.
@@ -26,10 +28,11 @@ from inkloom.llm.common import map_rows, scratch_path
 HOST_SHARE, HOST_PAGES = 0.15, 3
 #: A path on this share of all pages, and on at least so many hosts and pages, is furniture.
 ALL_SHARE, ALL_HOSTS, ALL_PAGES = 0.007, 4, 4
+#: A vote on a path is clear when so many of its containers agree.
+CLEAR = 0.8
 SALTS = 16
-MAX_VOTED = 240
 
-LINES = T.StructType([T.StructField(n, t) for n, t in (("result_id", T.LongType()), ("host", T.StringType()), ("line_no", T.IntegerType()), ("verdict", T.IntegerType()), ("sig", T.LongType()), ("lead", T.LongType()))])
+LINES = T.StructType([T.StructField(n, t) for n, t in (("result_id", T.LongType()), ("host", T.StringType()), ("line_no", T.IntegerType()), ("verdict", T.IntegerType()), ("sig", T.LongType()), ("lead", T.LongType()), ("path", T.LongType()), ("first", T.BooleanType()))])
 
 
 def _hash(text: str) -> int:
@@ -51,13 +54,13 @@ def _line_rows():
         lines = P.page_lines(markdown, site, title)
         leads: dict[int, int] = {}
         for x in lines:
-            short = len(x.text) <= MAX_VOTED or x.verdict == 2
-            sig = _hash(P.signature(x.text)) if short and not P.ITEM_LINK.search(x.text) else None
-            if x.block not in leads:
+            sig = None if P.ITEM_LINK.search(x.text) else _hash(P.signature(x.text))
+            first = x.block not in leads
+            if first:
                 leads[x.block] = sig if sig is not None else 0
-            yield key, host, x.no, x.verdict, sig if short else None, leads[x.block]
+            yield key, host, x.no, x.verdict, sig, leads[x.block], _hash(x.path), first
         if P.title_has_more(title, P.headline(lines), site):
-            yield key, host, 0, 1, None, 0
+            yield key, host, 0, 1, None, 0, None, False
 
     return row
 
@@ -86,10 +89,23 @@ def furniture_lines(results: DataFrame, streams: DataFrame) -> DataFrame:
         per_host.where(f"host <> '' and n >= {HOST_PAGES}").join(pages, "host").where(f"n >= {HOST_SHARE} * pages")
         .select("host", F.col("sig").alias("lead"), F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"), F.lit(True).alias("on_host"))
     )
-    sure = lines.where("verdict = 1").select("result_id", "line_no")
-    asked = lines.where("verdict = 2").withColumn("salt", F.pmod(F.col("result_id"), F.lit(SALTS)).cast("int"))
+    # Votes on paths: a path is made of a few categories, so there are some thousands at most, whatever the corpus' size.
+    votes = lines.where("first and verdict <> 2").groupBy("host", "path").agg(F.sum("verdict").alias("furniture"), F.count("*").alias("n"))
+    of_all = votes.groupBy("path").agg((F.sum("furniture") / F.sum("n")).alias("all_share"))
+    # Of hosts only those rows are needed that differ from what all hosts say.
+    of_host = (
+        votes.where(f"host <> '' and n >= {HOST_PAGES}").withColumn("host_share", F.col("furniture") / F.col("n"))
+        .join(F.broadcast(of_all), "path").where("abs(host_share - all_share) > 0.1")
+        .select("host", "path", "host_share", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    )
+    salted = lines.withColumn("salt", F.pmod(F.col("result_id"), F.lit(SALTS)).cast("int"))
+    share = F.coalesce("host_share", "all_share")
+    furniture = F.when(share >= CLEAR, True).when(share <= 1 - CLEAR, False).otherwise(F.col("verdict") == 1)
+    scored = salted.where("verdict <> 2 and line_no > 0").join(F.broadcast(of_all), "path", "left").join(of_host, ["host", "path", "salt"], "left").where(furniture)
+    titles = lines.where("line_no = 0").select("result_id", "line_no")
+    asked = salted.where("verdict = 2")
     voted = asked.join(F.broadcast(everywhere), "lead", "left").join(on_host, ["host", "lead", "salt"], "left").where("everywhere or on_host")
-    return sure.unionByName(voted.select("result_id", "line_no"))
+    return titles.unionByName(scored.select("result_id", "line_no")).unionByName(voted.select("result_id", "line_no"))
 
 
 def main_bodies(results: DataFrame, furniture: DataFrame) -> DataFrame:

@@ -22,9 +22,10 @@ COPYRIGHT = re.compile(r"^(?:©|\(c\)|\(C\)|&copy;|Copyright)\s", re.I)
 
 
 class Line(NamedTuple):
-    """A non-blank line: its number from 1, its text, its block's number and kind, and the verdict on it.
+    """A non-blank line: its number from 1, its text, its block's number and kind, the block's score and its path.
 
-    verdict: 1 furniture, 0 body, 2 to be decided by how the line repeats over pages.
+    verdict: 1 furniture, 0 body, 2 to be decided by how the line repeats over pages. path: where and of what shape
+    the block is, without its words, as tags and classes would tell it.
     """
 
     no: int
@@ -32,10 +33,12 @@ class Line(NamedTuple):
     block: int
     kind: str
     verdict: int
+    path: str
 
 
 YEAR_OR_DEGREE = re.compile(r"(?<=[©)] )\d{4}\b|\d+(?=°)")
-FIRST_SENTENCE = re.compile(r".{24,}?(?:[.!?]+(?=\s|$)|[。！？])|.+", re.S)
+#: A stop before a number belongs to an abbreviation.
+FIRST_SENTENCE = re.compile(r".{24,}?(?:[.!?]+(?=\s+\D|\s*$)|[。！？])|.+", re.S)
 
 
 def signature(line: str) -> str:
@@ -88,6 +91,17 @@ def _link_share(lines: list[str]) -> float:
     return sum(len(m[1]) for m in LINK.finditer(text)) / max(1, len(_plain(text).strip(" *+-")))
 
 
+def _shape(lines: list[str], kind: str, site_words: tuple[str, ...]) -> str:
+    """A block's shape: kind and level, share and targets of its links, bars, sentence ends, size."""
+    text = "\n".join(lines)
+    level = len(text) - len(text.lstrip("#")) if kind == "heading" else 0
+    links = f"{int(3.99 * min(1.0, _link_share(lines)))}" if "](" in text else "-"
+    targets = ("i" if ITEM_LINK.search(text) else "") + ("s" if SECTION_LINK.search(text) else "") + ("h" if SITE_LINK.match(lines[0]) else "")
+    marks = ("b" if _is_bar(text) else "") + ("e" if SENTENCE_END.search(lines[-1].rstrip()) else "") + ("m" if SENTENCE_INSIDE.search(LINK.sub("", lines[0])) else "") + ("c" if COPYRIGHT.match(lines[0]) else "") + ("w" if _has_site(lines, site_words) else "")
+    size = sum(len(text) >= n for n in (25, 60, 90, 160, 320))
+    return f"{kind}{level}/{links}{targets}/{marks}/{size}/{min(len(lines), 4)}"
+
+
 def page_lines(markdown: str, site_words: tuple[str, ...] = (), title: str | None = None) -> list[Line]:
     """All non-blank lines of a web page's Markdown with a verdict from form and place."""
     blocks: list[list[tuple[int, str]]] = []
@@ -145,8 +159,7 @@ def page_lines(markdown: str, site_words: tuple[str, ...] = (), title: str | Non
         elif related(i):
             verdicts.append(1)
         elif prose[i] or k == "quote":
-            sure = sum(map(len, texts[i])) > 320 and not NOTICE.search(texts[i][0]) or k == "quote"
-            verdicts.append(0 if sure and not _has_site(texts[i], site_words) else 4)
+            verdicts.append(0 if k == "quote" and not _has_site(texts[i], site_words) else 4)
         elif k == "heading":
             after = i + 1
             verdicts.append(1 if after < len(blocks) and (related(after) or kinds[after] == "heading") else 2)
@@ -174,8 +187,11 @@ def page_lines(markdown: str, site_words: tuple[str, ...] = (), title: str | Non
             v = 2
         elif v == 2 and k == "heading" and i > last:  # a heading that no body follows
             v = 1
+        zone = "before" if i < start else "head" if i == start else "next" if i == start + 1 else "in" if i <= last else "after"
+        follows = "" if k != "heading" or i + 1 >= len(blocks) else "r" if related(i + 1) else "h" if kinds[i + 1] == "heading" else ""
+        path = f"{zone}{follows}/{_shape(texts[i], k, site_words)}"
         for no, t in b:
-            out.append(Line(no, t, i, k, v))
+            out.append(Line(no, t, i, k, v, path))
     return out
 
 
