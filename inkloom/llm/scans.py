@@ -1,8 +1,9 @@
 """Problem 4: noise of scanned pages - broken words, misread letters, running heads and feet, page numbers.
 
 Method: words of the scanned pages that are rare in sound text are joined in SQL with frequent ones whose anagram
-hash (a sum over letters, so independent of order) differs by the hash of a known confusion; candidates are
-verified letter by letter and ranked by frequency. Heads and feet are the lines at page edges that return
+hash (a sum over letters, so independent of order) differs by the hash of a known confusion, once or twice; candidates
+are verified letter by letter and ranked by frequency. Words with digits among their letters are misread unless sound
+text has them too. Heads and feet are the lines at page edges that return
 on other pages of the record (confusable letters being equal), repeat its title, or stand across a
 sentence that runs over the page's end. A line end is a hyphenation when the joined word is better
 attested than the compound.
@@ -51,14 +52,14 @@ TARGET_RATIO = 3.0
 
 
 def scanned_records(results: DataFrame, warnings: DataFrame, pages: DataFrame) -> DataFrame:
-    """PDF records with at least one scanned page: Markdown, title, scanned page numbers, line counts of pages."""
+    """PDF records with at least one scanned page: Markdown, title, ranges of scanned page numbers, line counts of pages."""
     loc = F.lower(F.trim("location"))
     span = F.regexp_extract(loc, r"p(?:ages?|p?\.)\s*0*(\d{1,6})\s*(?:-|–|to)\s*0*(\d{1,6})", 1).try_cast("int")
     upto = F.regexp_extract(loc, r"p(?:ages?|p?\.)\s*0*(\d{1,6})\s*(?:-|–|to)\s*0*(\d{1,6})", 2).try_cast("int")
     one = F.regexp_extract(loc, r"^p(?:ages?|p?\.)\s*0*(\d{1,6})$", 1).try_cast("int")
-    numbers = F.when(span.isNotNull() & (upto >= span) & (upto - span < 100_000), F.sequence(span, upto)).when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<int>"))
+    numbers = F.when(span.isNotNull() & (upto >= span), F.struct(span.alias("first"), upto.alias("last"))).when(one.isNotNull(), F.struct(one.alias("first"), one.alias("last")))
     scan = warnings.where("converter = 'pdf' and location is not null").where(F.lower("message").rlike("scan|image|ocr|glyphs were read"))
-    named = scan.select("result_id", F.explode(numbers).alias("page_no")).groupBy("result_id").agg(F.collect_set("page_no").alias("named"))
+    named = scan.select("result_id", numbers.alias("pages")).where("pages is not null").groupBy("result_id").agg(F.collect_set("pages").alias("named"))
     filled = F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0
     trimmed = F.regexp_replace("text", r"^\n+|\s+$", "")
     counts = (
@@ -223,7 +224,8 @@ class Record:
         self.lines = markdown.split("\n")
         counts = [(p["page_no"], p["n_lines"]) for p in page_lines] if page_lines else None
         self.spans = page_spans(self.lines, counts)
-        self.scanned = set(named or ()) | {int(m[1]) for x in self.lines if (m := MARKER.match(x))}
+        ranges = [(r["first"], r["last"]) for r in named or ()]
+        self.scanned = {n for n, *_ in self.spans if any(a <= n <= b for a, b in ranges)} | {int(m[1]) for x in self.lines if (m := MARKER.match(x))}
         self.found = furniture(self.lines, self.spans, self.scanned, title)
         self.body = [(n, i) for n, a, b in self.spans for i in range(a, b) if self.lines[i].strip() and i not in self.found and not MARKER.match(self.lines[i])]
 
@@ -246,7 +248,7 @@ def _sound_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def lexicon(results: DataFrame, rows: DataFrame) -> DataFrame:
     """(word, clean, scan): counts in sound text (all converters but pdf) and on the lines of scanned pages."""
     sound = results.where("converter <> 'pdf' and markdown is not null").select("markdown").mapInArrow(_sound_counts, "word string, clean long")
-    scans = rows.where("kind in ('word', 'compound') and length(word) between 2 and 64").groupBy("word").agg(F.count("*").alias("scan"))
+    scans = rows.where("kind in ('word', 'compound', 'mixed') and length(word) between 2 and 64").groupBy("word").agg(F.count("*").alias("scan"))
     both = sound.select("word", "clean", F.lit(0).cast("long").alias("scan")).unionByName(scans.select("word", F.lit(0).cast("long").alias("clean"), "scan"))
     return both.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"))
 
@@ -261,14 +263,24 @@ def corrections(words: DataFrame) -> DataFrame:
     target = base.where("clean + scan >= 3").select(F.col("word").alias("target"), F.greatest("clean", F.col("expected")).alias("weight"), hashed("word").alias("target_hash"))
     # A few dozen confusions, of which only those that the word can have are tried.
     known = F.array(*[F.struct(F.lit(t).alias("print"), F.lit(g).alias("misread"), F.lit(anagram_hash(t) - anagram_hash(g)).alias("diff")) for t, g in CONFUSIONS])
-    tried = suspect.withColumn("c", F.explode(F.filter(known, lambda c: F.instr(F.col("word"), c["misread"]) > 0))).select("word", "expected", "scan", "c.print", "c.misread", (F.col("hash") + F.col("c.diff")).alias("target_hash"))
+    # The same letter is often misread again in a word: each confusion is tried once, and twice where it occurs twice.
+    applied = suspect.withColumn("c", F.explode(F.filter(known, lambda c: F.instr(F.col("word"), c["misread"]) > 0))).select("word", "expected", "hash", "c.*")
+    occurs = F.size(F.split("word", F.concat(F.lit("\\Q"), "misread", F.lit("\\E")), -1)) - 1
+    times = F.explode(F.when((occurs > 1) & (F.length("word") >= TWICE_LENGTH), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    tried = applied.withColumn("times", times).select("word", "expected", "print", "misread", "times", (F.col("hash") + F.col("times") * F.col("diff")).alias("target_hash"))
     hit = tried.join(target, "target_hash").where(f"weight >= {TARGET_RATIO} * expected")
-    exact = F.expr("exists(sequence(1, length(word)), i -> substring(word, i, length(misread)) = misread and concat(substring(word, 1, i - 1), print, substring(word, i + length(misread))) = target)")
-    return hit.where(exact).groupBy("word").agg(F.max_by("target", F.struct("weight", "target")).alias("target"))
+    swap = "concat(substring({0}, 1, {1} - 1), print, substring({0}, {1} + length(misread)))"
+    places = "filter(sequence(1, length({0})), {1} -> substring({0}, {1}, length(misread)) = misread)"
+    once = F.expr(f"exists({places.format('word', 'i')}, i -> {swap.format('word', 'i')} = target)")
+    # Of two places the later is replaced first, so that the earlier keeps its position.
+    twice = F.expr(f"exists({places.format('word', 'i')}, i -> exists({places.format('word', 'j')}, j -> j + length(misread) <= i and concat(substring(word, 1, j - 1), print, substring(word, j + length(misread), i - j - length(misread)), print, substring(word, i + length(misread))) = target))")
+    return hit.where(F.when(F.col("times") == 1, once).otherwise(twice)).groupBy("word").agg(F.max_by("target", F.struct(-F.col("times"), "weight", "target")).alias("target"))
 
 
-#: Letters and digits mixed inside one word, or a capital U in place of "ll": misread whatever the word is.
-MIXED = re.compile(r"^[^\W\d_]{1,}[0-9]+[^\W\d_]*$|^[0-9][^\W\d_]{3,}$|^[^\W\d_]*[a-zß-ÿ]U[a-zß-ÿ]*$")
+#: Digits among the letters of one word, or a capital U in place of "ll": misread unless sound text has the word.
+MIXED = re.compile(r"^[^\W\d_][^\W_]*[0-9][^\W_]*$|^[0-9][^\W\d_](?=(?:[0-9]*[^\W\d_]){2})[^\W_]*$|^0[^\W\d_]{1,2}$|^[^\W\d_]*[a-zß-ÿ]U[a-zß-ÿ]*$")
+#: Words of at least so many letters may have one confusion twice.
+TWICE_LENGTH = 6
 
 
 def _line_rows():
@@ -301,7 +313,7 @@ def _line_rows():
             if n in rec.scanned:
                 for tok in set(tokens):
                     if MIXED.match(tok) and not tok.isdigit():
-                        yield key, i + 1, "misread", None, None, None, None, None
+                        yield key, i + 1, "mixed", tok.lower() if "U" not in tok[1:] or not tok.isalpha() else tok, None, None, None, None
                     elif len(tok) > 1 and not tok.isdigit():
                         yield key, i + 1, "word", tok.lower(), None, None, None, None
                 if "-" in line:
@@ -341,6 +353,9 @@ def scan_lines(results: DataFrame, warnings: DataFrame, pages: DataFrame) -> dic
     corrections(lex).write.parquet(fix_path)
     fixes = spark.read.parquet(fix_path)
     wrong = rows.where("kind = 'word'").join(fixes, "word")
+    n_clean, n_scan = words.agg(F.sum("clean"), F.sum("scan")).first()
+    sound = words.where(F.col("clean") > RARE_SHARE * (n_clean or 0) / max(n_scan or 0, 1) * F.col("scan")).select("word")
+    mixed = rows.where("kind = 'mixed'").join(sound, "word", "left_anti")
     # In a broken word the misread letter is before or behind the break.
     first_diff = F.expr("aggregate(sequence(1, length(word)), cast(0 as int), (a, i) -> if(a = 0 and substring(word, i, 1) <> substring(target, i, 1), i, a))")
     split = hyphens.join(fixes, "word").withColumn("at", first_diff)
@@ -348,14 +363,15 @@ def scan_lines(results: DataFrame, warnings: DataFrame, pages: DataFrame) -> dic
     # A part with a digit among its letters is misread whatever the word is.
     digit = hyphens.select("result_id", F.explode(F.array(F.struct(F.col("line_no").alias("line_no"), F.col("head").alias("part")), F.struct(F.col("tail_line").alias("line_no"), F.col("tail").alias("part")))).alias("x")).where("x.part rlike '[a-zß-ÿ][0-9]|[0-9][a-zß-ÿ]{2}'").select("result_id", "x.line_no", F.lit("misread").alias("noise"))
     found = (
-        rows.where("kind in ('header', 'page_no', 'misread')").select("result_id", "line_no", F.col("kind").alias("noise"))
+        rows.where("kind in ('header', 'page_no')").select("result_id", "line_no", F.col("kind").alias("noise"))
+        .unionByName(mixed.select("result_id", "line_no", F.lit("misread").alias("noise")))
         .unionByName(hyphens.where("line_no is not null").select("result_id", "line_no", F.lit("hyphen").alias("noise")))
         .unionByName(wrong.select("result_id", "line_no", F.lit("misread").alias("noise")))
         .unionByName(split.select("result_id", split_line.alias("line_no"), F.lit("misread").alias("noise")))
         .unionByName(digit)
         .where("line_no is not null").distinct()
     )
-    return {"found": found, "fixes": fixes, "records": records, "words": rows.where("kind = 'word'")}
+    return {"found": found, "fixes": fixes, "records": records, "words": rows.where("kind in ('word', 'mixed')")}
 
 
 def repaired(parts: dict[str, DataFrame]) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkloom.llm import boilerplate, leaks, lookalike, mojibake, quality, queries, scans, split, tokens, toxicity
 
@@ -63,6 +64,21 @@ def test_p4(spark):
     assert rows(scans.scan_lines(df.where("false"), warnings, pages)["found"]) == []
 
 
+def test_p4_words_with_several_misread_letters(spark):
+    """One confusion twice in a word, digits at several places; what sound text has too is none; ranges of any length."""
+    sound = "The flnished cotton was finished in room B12 of the mill. ".replace("flnished", "finished") * 40
+    text = "The flnlshed c0tt0n came to room B12\nof the mill and it was finished there.\n" + "The mill was closed before noon.\n" * 9 + "It stayed there 0f course."
+    df = results(spark, ("html", sound, None), ("pdf", text, None))
+    warnings = spark.createDataFrame([(2, "pdf", "pages 1 - 900000", "text comes from a scan")], "result_id long, converter string, location string, message string")
+    pages = spark.createDataFrame([(2, 1, text)], "result_id long, page_no int, text string")
+    parts = scans.scan_lines(df, warnings, pages)
+    assert rows(parts["found"]) == [(2, 1, "misread"), (2, 12, "misread")]
+    assert {(r["word"], r["target"]) for r in parts["fixes"].collect()} == {("flnlshed", "finished"), ("c0tt0n", "cotton")}
+    assert scans.repaired(parts).first()["text"].startswith("The finished cotton came to room B12 of the mill")
+    only = df.withColumn("markdown", F.replace("markdown", F.lit("flnlshed c0tt0n"), F.lit("finished cotton")))
+    assert rows(scans.scan_lines(only, warnings, pages)["found"]) == [(2, 12, "misread")]
+
+
 def test_p5(spark):
     df = results(spark, ("csv", "| a | b |\n| --- | --- |\n" + "| 1 | 2 |\n" * 5, None), ("html", None, None), ("docx", "", None))
     words = spark.createDataFrame([("en", "the"), (None, None)], "lang string, word string")
