@@ -22,8 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Stretches remembered per Python worker; beyond it the memory is emptied and words are replayed again.
-MEMORY_WORDS = 1_000_000
+#: Bytes remembered per Python worker, about; beyond it the memory is emptied and words are replayed again.
+MEMORY_BYTES = 256 << 20
+#: Stretches of more characters, such as lines of a script without blanks or encoded bytes, are replayed each time.
+LONG_STRETCH = 64
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -109,29 +111,35 @@ class Encoder:
         self.replay = MergeReplay(load_ranks(rank_path))
         self.known: dict[str, list[int]] = {}
         self.known_words: dict[str, list[int]] = {}
+        self.size = 0
 
-    def learn(self, stretches: set[str]) -> None:
+    def learn(self, stretches: set[str]) -> dict[str, list[int]]:
+        """The ids of stretches not met before; those of usual length are remembered."""
         split = {s: self.words.findall(s) for s in stretches}
         new = list({w for ws in split.values() for w in ws if w not in self.known_words})
-        for w, ids in zip(new, self.replay.encode_words(new), strict=True):
-            self.known_words[w] = ids
-        for s, ws in split.items():
-            self.known[s] = [i for w in ws for i in self.known_words[w]]
+        once = dict(zip(new, self.replay.encode_words(new), strict=True))
+        out = {s: [i for w in ws for i in (once[w] if w in once else self.known_words[w])] for s, ws in split.items()}
+        for memory, found in ((self.known_words, once), (self.known, out)):
+            for s, ids in found.items():
+                if len(s) <= LONG_STRETCH:
+                    memory[s] = ids
+                    # An entry, its text and its list; small numbers are shared objects.
+                    self.size += 200 + 2 * len(s) + 12 * len(ids)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         cut = [STRETCH.findall(t) if t else [] for t in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known, self.known_words = {}, {}
+        if self.size > MEMORY_BYTES:
+            self.known, self.known_words, self.size = {}, {}, 0
         known = self.known
         missing = {s for c in cut for s in c if s not in known}
-        if missing:
-            self.learn(missing)
+        fresh = self.learn(missing) if missing else {}
         out = []
         for c in cut:
             ids: list[int] = []
             extend = ids.extend
             for s in c:
-                extend(known[s])
+                extend(known[s] if s in known else fresh[s])
             out.append(ids)
         return out
 

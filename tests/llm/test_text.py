@@ -42,6 +42,15 @@ def test_ids_of_any_text(text):
     assert encoder().encode([text, None]) == [t.encode(text, add_special_tokens=False).ids, []]
 
 
+def test_memory_of_stretches_is_bounded(monkeypatch, tokenizer):
+    e = tokens.Encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    texts = [f"word{i} " + "long" * 40 + f"{i} 日本語日本語" for i in range(50)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert e.encode(texts) == want and e.encode(texts) == want and not any(len(s) > tokens.LONG_STRETCH for s in e.known)
+    monkeypatch.setattr(tokens, "MEMORY_BYTES", 100)
+    assert e.encode(texts[:3]) == want[:3] and len(e.known) < 20
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet="ab é.\n日", min_size=0, max_size=900), st.integers(40, 120))
 def test_pieces_cover_the_text(text, limit):
