@@ -2,7 +2,8 @@
 
 Method: tables show as delimiters that stand in the same columns of consecutive lines (pipes, tabs, semicolons, wide
 gaps), lists as marks, as runs of short lines of like form, or by the periodicity of indentation and the autocorrelation of
-line lengths where few words are common ones; junk as lines without readable words (letters, vowels). A text
+line lengths where few words are common ones; junk as lines without readable words (letters, vowels), as matter that repeats
+few words, or as words of which hardly any are common ones of one language. A text
 is of a class when more than half of its characters, page furniture aside, stand in such lines.
 
 Defined results: null Markdown gives null statistics and no class; empty or blank Markdown gives zero counts and
@@ -32,8 +33,8 @@ FENCE = re.compile(r"^\s*(?:```|~~~)")
 CODE = re.compile(r"[{};]\s*$|^\s*(?:def|class|import|from|return|function|var|let|const|public|private|static|void|int|if|for|while|else|elif|try|except|#include|package|using|select|insert)\b.*[({:;=]|=>|->|\(\)|\w\(.*\)|[=!<>]=|^\s*[#/]{2}\s|</?\w+[^>]*>|^\s*[})\]]+;?\s*$|\w+\s*[+*/-]?=\s*\S", re.I)
 BLOB = re.compile(r"^\s*(?:[A-Za-z0-9+/=_-]{24,}|(?:[0-9a-fA-F]{2,}[ :-]?){6,}|(?:\S*[0-9a-fA-F]{8,}\S*\s*)+)\s*$")
 VOWELS = re.compile("[aeiouyäöüáàâãéèêëíìîïóòôõúùûąęaeiouyаеёиоуыэюяіїєαεηιουω]", re.I)
-#: Words of the usual filling text. Fixed values.
-LOREM = set("lorem ipsum dolor amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua veniam quis nostrud ullamco".split())
+#: Text of no language, such as filling text, holds a smaller share of the common words of any single language than this.
+LANGUAGE_COMMON = 0.08
 BULLET = re.compile(r"\s*(?:[-*+•·–‣◦▪]|\(?\d{1,3}[.):]|\[[ xX]\])\s+\S")
 NOT_LETTERS = " 0123456789.,;:!?()[]{}\"'’“”«»-–—|/\\+*=<>#$%&@^~_`"
 COUNTED_VOWELS = "aeiouyáéíóúàèùâêôäöüãõаеёиоуыэюя"
@@ -124,6 +125,24 @@ def _word_ratios(lines: list[str], common: set[str]) -> tuple[float, float | Non
     return share, sum(w.lower() in common for w in words) / len(words)
 
 
+class CommonWords(set):
+    """Frequent words of all languages, and those of each."""
+
+    def __init__(self, by_language: dict[str, set[str]]):
+        super().__init__(w for ws in by_language.values() for w in ws)
+        self.languages = list(by_language.values())
+
+    def __reduce__(self):
+        return CommonWords, ({str(i): ws for i, ws in enumerate(self.languages)},)
+
+
+def _of_no_language(words: list[str], text: str, common: set[str]) -> bool:
+    """Whether hardly any of a text's words are common ones of one language; false where words are not parted or none are given."""
+    if not common or len(CJK.findall(text)) * 4 > len(text):
+        return False
+    return max(sum(w in ws for w in words) for ws in getattr(common, "languages", [common])) < LANGUAGE_COMMON * len(words)
+
+
 def _rhythmic_list(lines: list[str], common: set[str]) -> bool:
     """Entries in a rhythm of indentation or of line lengths, in words but with few of those that join sentences."""
     stripped = [x.strip() for x in lines]
@@ -216,8 +235,11 @@ def _unmarked_list(lines: list[str], common: set[str]) -> bool:
     return lower >= 0.9 * n and words <= 4 and full < 0.75 * n and mean < 30
 
 
-def text_class(markdown: str | None, converter: str | None, common: set[str]) -> str | None:
-    """'list', 'table' or 'junk' when more than half of a text is that, else None."""
+def text_class(markdown: str | None, converter: str | None, common: set[str], restored: bool = False) -> str | None:
+    """'list', 'table' or 'junk' when more than half of a text is that, else None.
+
+    restored: the text was garbled, and what it was may not be had in full; that few of its words are known proves nothing.
+    """
     if not markdown or not markdown.strip():
         return None
     if converter == "html":
@@ -268,17 +290,17 @@ def text_class(markdown: str | None, converter: str | None, common: set[str]) ->
     if not sizes["all"]:
         return None
     # Entries parted by blank lines, and unmarked lists, are told from prose by all such blocks together.
-    for b in prose_like:
-        if _unmarked_list(b, common):
-            sizes["list"] += sum(len(x.strip()) for x in b)
+    listed = [_unmarked_list(b, common) for b in prose_like]
     single = [b[0] for b in prose_like if len(b) == 1]
     if len(single) >= 4 and _unmarked_list(single, common):
         sizes["list"] += sum(len(x.strip()) for x in single)
-    prose = "\n".join("\n".join(b) for b in prose_like)
+        listed = [y or len(b) == 1 for b, y in zip(prose_like, listed, strict=True)]
+    sizes["list"] += sum(len(x.strip()) for b, y in zip(prose_like, listed, strict=True) if y and len(b) > 1 for x in b)
+    prose = "\n".join("\n".join(b) for b, y in zip(prose_like, listed, strict=True) if not y)
     words = LETTERS.findall(prose.lower())
     if len(words) >= 20:
         different = set(words)
-        if len(different & LOREM) >= 6 and sum(1 for w in words if w in LOREM) >= 0.15 * len(words) or len(different) <= max(3, min(12, 0.06 * len(words))):
+        if len(different) <= max(3, min(12, 0.06 * len(words))) or not restored and _of_no_language(words, prose, common):
             sizes["junk"] += len(prose)
     kind, size = max(((k, sizes[k]) for k in ("list", "table", "junk")), key=lambda x: x[1])
     if size * 2 <= sizes["all"]:
@@ -286,7 +308,7 @@ def text_class(markdown: str | None, converter: str | None, common: set[str]) ->
     if kind == "junk" and not markdown.isascii() and mojibake.is_garbled(markdown):
         # Garbled prose is prose: judged by the text it was, or kept when that is lost.
         was = mojibake.restore(markdown)
-        return None if was == markdown else text_class(was, converter, common)
+        return None if was == markdown or mojibake.is_garbled(was) else text_class(was, converter, common, True)
     return kind
 
 
@@ -318,10 +340,13 @@ def statistics(markdown: str | None, common: set[str]) -> tuple:
 
 def common_set(common_words: DataFrame, most: int = 10_000) -> set[str]:
     """The frequent words; the table is fixed and small, which is checked."""
-    words = [r[0] for r in common_words.where("word is not null").select("word").distinct().limit(most + 1).collect()]
+    words = common_words.where("word is not null").select("lang", "word").distinct().limit(most + 1).collect()
     if len(words) > most:
         raise ValueError(f"more than {most} common words")
-    return {w.lower() for w in words}
+    by_language: dict[str, set[str]] = {}
+    for lang, word in words:
+        by_language.setdefault(lang or "", set()).add(word.lower())
+    return CommonWords(by_language)
 
 
 def text_statistics(results: DataFrame, common: set[str]) -> DataFrame:

@@ -277,6 +277,16 @@ def test_text_classes_by_rhythm():
     assert k(verse) is None
 
 
+def test_filling_text_is_of_no_language():
+    common = quality.CommonWords({"en": set("the of and a to in is was it for with his on that as at by he had not are but from".split()), "fr": set("le la les de des et à un une en est que qui dans pour sur pas au il".split())})
+    filling = "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur."
+    assert quality.text_class(filling, "plaintext", common) == "junk" and quality.text_class(filling, "plaintext", set()) is None
+    prose = "The bakers of the town have recovered, and the statue was repaired for the fair. Nobody was hurt by it, but a cart in the yard is lost to his firm. He had not asked for it at all."
+    assert quality.text_class(prose, "plaintext", common) is None
+    russian = "Наши рынки уже открыты, но поезда ещё ждут. " * 6
+    assert quality.text_class(russian, "plaintext", quality.CommonWords({"ru": {"но", "уже", "ещё"}})) is None
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc", min_size=1, max_size=10), st.data())
 def test_near_words_share_an_end(word, data):
