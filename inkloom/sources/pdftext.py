@@ -2,7 +2,7 @@
 
 Covered: classic and stream cross references (or a scan of the file when they are broken), object streams,
 Flate, LZW, ASCII85, ASCIIHex and run-length filters with predictors, Form XObjects, simple fonts by their
-encodings and differences, composite fonts by ToUnicode. Encrypted files are refused. What cannot be read
+encodings and differences, composite fonts by ToUnicode. Encrypted files are read where the empty password opens them. What cannot be read
 becomes a warning of its page.
 """
 
@@ -15,6 +15,8 @@ import unicodedata
 import zlib
 from dataclasses import dataclass, field
 
+from inkloom.sources.pdfcrypt import Cipher
+
 WHITE = b"\0\t\n\x0c\r "
 DELIMS = b"()<>[]{}/%"
 MAX_DEPTH = 12
@@ -227,14 +229,30 @@ class Document:
         self.cache: dict[int, object] = {}
         self.bags: dict[int, list] = {}
         self.trailer: dict = {}
+        self.cipher: Cipher | None = None
         try:
             self._xref()
         except (PdfError, ValueError, IndexError, TypeError, zlib.error):
             self.trailer = {}
+        self._unlock()
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             self._scan()
-        if "Encrypt" in self.trailer:
-            raise PdfError("pdf: encrypted files are not supported")
+            self._unlock()
+
+    def _unlock(self) -> None:
+        """Sets the cipher of an encrypted file, before anything encrypted is read."""
+        info = self.get(self.trailer.get("Encrypt"))
+        if self.cipher or not isinstance(info, dict):
+            return
+        ids = self.get(self.trailer.get("ID"))
+        try:
+            self.cipher = Cipher({k: self.get(v) for k, v in info.items()}, ids[0] if isinstance(ids, list) and ids and isinstance(ids[0], bytes) else b"")
+        except (KeyError, TypeError, AttributeError) as e:
+            raise PdfError(f"pdf: broken encryption dictionary ({e})") from e
+        except ValueError as e:
+            raise PdfError(str(e)) from e
+        self.cache.clear()
+        self.bags.clear()
 
     def _xref(self) -> None:
         at = self.data.rfind(b"startxref")
@@ -311,7 +329,7 @@ class Document:
 
     def _object_at(self, at: int):
         lex = Lexer(self.data, at)
-        lex.value(), lex.value()
+        number, generation = lex.value(), lex.value()
         if lex.value() != "obj":
             raise PdfError("no object where one is expected")
         v = lex._with_ref(0)
@@ -325,7 +343,10 @@ class Document:
                 if end < 0 or not re.compile(rb"\s{0,3}endstream").match(self.data, end):
                     end = self.data.find(b"endstream", start)
                     end = len(self.data) if end < 0 else end
-                return Stream(v, self.data[start:end])
+                body = self.data[start:end]
+                if self.cipher and v.get("Type") != "XRef":
+                    body = self.cipher.stream(number, generation, body)
+                return Stream(v, body)
         return v
 
     def _bag(self, n: int) -> list:

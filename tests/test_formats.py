@@ -1,3 +1,4 @@
+import hashlib
 import struct
 import threading
 
@@ -6,7 +7,7 @@ from builders import archive, doc, docx, para, pdf, pptx, shape, xlsx
 
 from inkloom import model
 from inkloom.model import ConversionFailed, Hints, InputTooLarge, Options, ResultTooLarge, Unsupported
-from inkloom.sources import htmlmd, legacydoc, ooxml, pdftext, sniff, textenc
+from inkloom.sources import htmlmd, legacydoc, ooxml, pdfcrypt, pdftext, sniff, textenc
 from inkloom.sources import xlsx as X
 from inkloom.plans.samples import list_item, style, table_cell
 from inkloom.sources.engine import FORMATS, Converter, Engine, default_engine
@@ -245,6 +246,25 @@ def test_pdf_text():
     assert md(data.replace(b"startxref", b"startxxxx"), extension=".pdf") == "Hello world\nab c\n\np(2)\n"
 
 
+def test_pdf_encrypted():
+    """Opened by the empty password; the ciphers by their published vectors."""
+    assert pdfcrypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    keys = pdfcrypt._round_keys(bytes(range(16)))
+    assert pdfcrypt.aes_block(keys, bytes.fromhex("69c4e0d86a7b0430d8cdb78070b4c55a")) == bytes.fromhex("00112233445566778899aabbccddeeff")
+    owner, ident = b"o" * 32, b"i" * 16
+    key = hashlib.md5(pdfcrypt.PAD + owner + struct.pack("<i", -4) + ident).digest()[:5]
+    text = b"BT /F1 12 Tf 72 700 Td (secret page) Tj ET"
+    own = hashlib.md5(key + b"\x0b\0\0" + b"\0\0").digest()[:10]
+    for user, opens in ((pdfcrypt.rc4(key, pdfcrypt.PAD), True), (b"u" * 32, False)):
+        lock = f"/Encrypt << /Filter /Standard /V 1 /R 2 /O <{owner.hex()}> /U <{user.hex()}> /P -4 >> /ID [<{ident.hex()}> <{ident.hex()}>] /Root".encode()
+        data = pdf([text.decode()]).replace(text, pdfcrypt.rc4(own, text)).replace(b"/Root", lock)
+        if opens:
+            assert md(data, extension=".pdf") == "secret page\n"
+        else:
+            with pytest.raises(ConversionFailed, match="password"):
+                md(data, extension=".pdf")
+
+
 def test_pdf_warnings_and_ocr():
     scan = "<< /XObject << /I << /a 1 >> >> >>"
     data = pdf(["BI /W 1 ID x EI ", "BT /F1 9 Tf 10 10 Td (typed) Tj ET"])
