@@ -138,9 +138,13 @@ class CommonWords(set):
 
 def _of_no_language(words: list[str], text: str, common: set[str]) -> bool:
     """Whether hardly any of a text's words are common ones of one language; false where words are not parted or none are given."""
-    if not common or len(CJK.findall(text)) * 4 > len(text):
+    if not common:
         return False
-    return max(sum(w in ws for w in words) for ws in getattr(common, "languages", [common])) < LANGUAGE_COMMON * len(words)
+    known = [w for w in words if w in common]
+    least = LANGUAGE_COMMON * len(words)
+    if len(known) >= least and any(sum(w in ws for w in known) >= least for ws in getattr(common, "languages", [common])):
+        return False
+    return text.isascii() or len(CJK.findall(text)) * 4 <= len(text)
 
 
 def _rhythmic_list(lines: list[str], common: set[str]) -> bool:
