@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import re
 
+import xxhash
+
 #: (print, misread as). Fixed values, known confusions of character recognition.
 CONFUSIONS = [
     ("e", "c"), ("c", "e"), ("a", "o"), ("t", "f"), ("s", "f"), ("n", "u"), ("u", "n"), ("o", "0"), ("i", "j"), ("i", "l"), ("l", "i"),
@@ -30,12 +32,13 @@ def skeleton(text: str) -> str:
     return re.sub(r"[^\w]+", " ", text.translate(_fold_table())).strip()
 
 
-#: A letter's share in an anagram hash: sums stay below 2**53 for words of up to 64 letters.
+#: A letter's share in an anagram hash has 46 bits: sums stay below 2**53 for words of up to 64 letters.
+SHARE_BITS = (1 << 46) - 1
+
+
 def letter_value(ch: str) -> int:
-    x = (ord(ch) * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF
-    x ^= x >> 29
-    x = (x * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    return (x ^ (x >> 32)) & ((1 << 46) - 1)
+    """As Spark's xxhash64 of the letter, so that words are hashed by a built-in expression."""
+    return xxhash.xxh64(ch.encode(), seed=42).intdigest() & SHARE_BITS
 
 
 def anagram_hash(word: str) -> int:

@@ -24,12 +24,12 @@ from collections.abc import Iterator
 from operator import ne
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkloom.llm.common import map_rows, scratch_path
-from inkloom.llm.confusions import CONFUSIONS, anagram_hash, skeleton
+from inkloom.llm.confusions import CONFUSIONS, SHARE_BITS, anagram_hash, skeleton
 
 MARKER = re.compile(r"^<!--.*\bpage (\d+) includes OCR text.*-->\s*$")
 TOKEN = re.compile(r"[^\W_]+")
@@ -253,14 +253,19 @@ def lexicon(results: DataFrame, rows: DataFrame) -> DataFrame:
     return both.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("scan").alias("scan"))
 
 
+def anagram_column(word: str) -> Column:
+    """The anagram hash of a word as an expression."""
+    letters = F.filter(F.split(word, ""), lambda x: x != "")
+    return F.aggregate(letters, F.lit(0).cast("long"), lambda total, x: total + F.xxhash64(x).bitwiseAND(F.lit(SHARE_BITS)))
+
+
 def corrections(words: DataFrame) -> DataFrame:
     """(word, target): suspect words and the frequent words that they are misreadings of, the best ranked one each."""
     all_clean, all_scan = words.agg(F.sum("clean"), F.sum("scan")).first()
-    hashed = F.pandas_udf(lambda s: s.map(anagram_hash), "long")
     scale = (all_clean or 0) / max(all_scan or 0, 1)
     base = words.where("length(word) between 3 and 64 and word not like '%-%'").withColumn("expected", F.col("scan") * F.lit(float(scale)))
-    suspect = base.where(f"scan > 0 and clean <= {RARE_SHARE} * expected").select("word", "expected", "scan", hashed("word").alias("hash"))
-    target = base.where("clean + scan >= 3").select(F.col("word").alias("target"), F.greatest("clean", F.col("expected")).alias("weight"), hashed("word").alias("target_hash"))
+    suspect = base.where(f"scan > 0 and clean <= {RARE_SHARE} * expected").select("word", "expected", "scan", anagram_column("word").alias("hash"))
+    target = base.where("clean + scan >= 3").select(F.col("word").alias("target"), F.greatest("clean", F.col("expected")).alias("weight"), anagram_column("word").alias("target_hash"))
     # A few dozen confusions, of which only those that the word can have are tried.
     known = F.array(*[F.struct(F.lit(t).alias("print"), F.lit(g).alias("misread"), F.lit(anagram_hash(t) - anagram_hash(g)).alias("diff")) for t, g in CONFUSIONS])
     # The same letter is often misread again in a word: each confusion is tried once, and twice where it occurs twice.

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from inkloom.llm import boilerplate, leaks, lookalike, mojibake, quality, queries, scans, split, tokens, toxicity
+from inkloom.llm import boilerplate, confusions, leaks, lookalike, mojibake, quality, queries, scans, split, tokens, toxicity
 
 DATA = "/root/testdata/sf0.001"
 RESULTS = "result_id long, stream_id long, collection string, converter string, markdown string, title string"
@@ -64,6 +64,12 @@ def test_p4(spark):
     assert rows(scans.scan_lines(df.where("false"), warnings, pages)["found"]) == []
 
 
+def test_p4_anagram_hash_as_expression(spark):
+    words = ["listen", "silent", "größe", "наши", "日本", "a", ""]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    assert {r[0]: r[1] for r in df.select("word", scans.anagram_column("word")).collect()} == {w: confusions.anagram_hash(w) for w in words}
+
+
 def test_p4_words_with_several_misread_letters(spark):
     """One confusion twice in a word, digits at several places; what sound text has too is none; ranges of any length."""
     sound = "The flnished cotton was finished in room B12 of the mill. ".replace("flnished", "finished") * 40
