@@ -6,6 +6,8 @@ single-byte text read by another single-byte charset the garbled letters of all
 may hold them: they count only in a context that gives them away - a symbol, control or foreign letter inside a
 word, a capital between small letters, or a run of them. Only matched spans are replaced; mixed correct text
 stays as it is. Where several pairs explain the letters equally well, the stream's declared charset decides.
+Text of seven-bit charsets (ISO-2022, HZ, UTF-7) and UTF-16 or UTF-32 read byte by byte may be garbled to ASCII alone: shift
+sequences and nulls give it away, and a span counts if its bytes decode to plausible text.
 
 Defined results: null and empty texts are unaffected. A replacement character is always a case and
 cannot be restored; it stays. Text garbled twice is restored in rounds.
@@ -310,6 +312,104 @@ def _utf8_spans(text: str, found: Found, declared: str | None = None) -> None:
                 found.spans.append(span)
 
 
+#: What charsets of 16 bits hold: kana and their marks, Chinese signs, syllables of Korean, wide forms.
+WIDE = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff01-\uff9f]")
+KANA = re.compile("[\u3041-\u30ff]")
+#: Text of seven-bit charsets as it is read by any other, what is missing before it, and the codecs. Escape sequences of ISO-2022
+#: tell by themselves; those whose escape character was lost, and those of HZ, count if they end as they should and decode.
+SHIFTED = [
+    (re.compile(r"\x1b(?:\$[@AB]|\$\([CD]|\(I)[!-~\x1b]*?(?:\x1b\([BJ]|(?=[^!-~\x1b]|\Z))"), "", ("iso2022_jp_ext", "iso2022_jp_2")),
+    (re.compile(r"\x1b\$\)C"), "", ("iso2022_kr",)),
+    (re.compile(r"\x0e(?:[!-~]{2})+\x0f"), "\x1b$)C", ("iso2022_kr",)),
+    (re.compile(r"(?<!\x1b)\$B(?:[!-~]{2})+?(?:\([BJ]|(?![!-~]{2}))"), "\x1b", ("iso2022_jp",)),
+    (re.compile(r"~\{(?=[!-W])(?:[!-w][!-~])+~\}"), "", ("hz",)),
+]
+#: A unit of UTF-7; inside longer stretches of its alphabet, such as encoded bytes, none begins.
+UTF7 = re.compile(r"(?<![A-Za-z0-9+/=]{24})\+([A-Za-z0-9/][A-Za-z0-9+/]{2,})(?![A-Za-z0-9+/=])-?")
+
+
+def _shifted_spans(text: str, found: Found) -> None:
+    """Text of seven-bit charsets, which all others read as ASCII."""
+    if "\x1b" in text or "\x0e" in text or "$B" in text or "~{" in text:
+        for pattern, missing, named in SHIFTED:
+            for m in pattern.finditer(text):
+                if missing == "\x1b" and m[0][-2] != "(":
+                    continue
+                whole = f"\x1b{m[0][:-2]}\x1b{m[0][-2:]}" if missing == "\x1b" else missing + m[0]
+                was, used = None, named[0]
+                for codec in named:
+                    try:
+                        was, used = whole.encode("ascii").decode(codec), codec
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                if m[0][0] != "\x1b" and not (was and all(WIDE.match(c) or len(was) > 2 and CYRILLIC.match(c) for c in was)):
+                    continue
+                if missing == "\x1b" and not KANA.search(was):
+                    continue
+                found.spans.append((*m.span(), was))
+                found.pairs[used, "ascii"] += 1
+    if "+" in text:
+        units = []
+        for m in UTF7.finditer(text):
+            try:
+                was = m[0].encode("ascii").decode("utf-7")
+            except UnicodeDecodeError:
+                continue
+            if was and all(LIKELY.match(c) or c > "\uffff" and PLAUSIBLE.match(c) for c in was):
+                # Three capitals may be an abbreviation after a plus, and any short word may read as Chinese signs.
+                before, behind = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1] if m[0][-1] == "-" else ""
+                if any(map(WIDE.match, was)) or max(was) > "\uffff":
+                    sure = len(was) > 1 and bool(KANA.search(was))
+                else:
+                    sure = len(m[1]) > 3 or not m[1].isupper() or was in FREQUENT and before.islower() and behind.islower()
+                    if not sure and before.isalnum() and not before.islower() and not behind.isalpha():
+                        continue
+                units.append((*m.span(), was, sure))
+        if any(sure for *_, sure in units):
+            found.spans.extend(u[:3] for u in units)
+            found.pairs["utf-7", "ascii"] += len(units)
+
+
+def _null_spans(text: str, found: Found, declared: str | None) -> None:
+    """UTF-16 and UTF-32 read byte by byte: nulls between the characters, which no sound text holds."""
+    back = to_byte(declared or "cp1252")
+    data = [ord(c) if c < "\x80" else back.get(c, ord(c) if c < "\u0100" else -1) for c in text]
+    spans: list[tuple[int, int, str, str]] = []
+    for codec, size in (("utf-16-le", 2), ("utf-16-be", 2), ("utf-32-le", 4), ("utf-32-be", 4)):
+        for first in range(size):
+            run: list[str] = []
+            gap = kana = 0  # wide signs since the last one that is sure, and the kana among them
+            for at in range(first, len(data) + size, size):
+                part = data[at : at + size]
+                number = int.from_bytes(bytes(part), "little" if codec.endswith("le") else "big") if len(part) == size and min(part) >= 0 else 0
+                ch = chr(number) if number < 0x110000 else "\0"
+                if 0xD800 <= number < 0xE000 and run:
+                    run.append(ch)
+                    gap += gap > 0
+                elif ch in "\t\n\ufeff" or run and ch in MARKS or " " <= ch <= "~" or ch < "\u0500" and PLAUSIBLE.match(ch):
+                    # Sound letters in pairs look like Chinese signs: without kana a row of them before or between is no part.
+                    if kana * 5 < gap and (gap > 3 or gap == len(run)):
+                        spans.append((at - size * len(run), at - size * gap, "".join(run[: len(run) - gap]), codec))
+                        run = []
+                    run.append(ch)
+                    gap = kana = 0
+                elif WIDE.match(ch) or PLAUSIBLE.match(ch):
+                    run.append(ch)
+                    gap, kana = gap + 1, kana + bool(KANA.match(ch))
+                else:
+                    keep = len(run) - gap * (kana * 5 < gap)
+                    spans.append((at - size * len(run), at - size * (len(run) - keep), "".join(run[:keep]), codec))
+                    run, gap, kana = [], 0, 0
+    taken = bytearray(len(text))
+    # A reading that is off by a byte loses the blanks and line ends.
+    for a, b, was, codec in sorted(spans, key=lambda s: (-len(s[2]) - 3 * len(re.findall("[ \n\ufeff]", s[2])), s[0])):
+        if len(was) > 2 and "\0" in text[a:b] and not any(taken[a:b]):
+            taken[a:b] = b"\1" * (b - a)
+            found.spans.append((a, b, was.lstrip("\ufeff").encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")))
+            found.pairs[codec, declared or "cp1252"] += 1
+
+
 def _single_byte_pair(tokens: list[str], declared: str | None = None) -> tuple[str, str, str] | None:
     """The pair and alphabet that turn most of the given words into words of one alphabet."""
     table = garbled_letters()
@@ -345,7 +445,13 @@ def charset_named(name: str | None) -> str | None:
 def find(text: str | None, declared: str | None = None) -> Found:
     """All garbled sequences of a text; declared is the charset that its stream names."""
     found = Found()
-    if not text or text.isascii() or not screen().search(text):
+    if not text:
+        return found
+    _shifted_spans(text, found)
+    if "\0" in text:
+        _null_spans(text, found, declared)
+    found.strong = bool(found.spans)
+    if text.isascii() or not screen().search(text):
         return found
     if "�" in text:
         found.strong = True
@@ -451,10 +557,10 @@ TEXT_CONVERTERS = ("html", "csv", "plaintext")
 
 
 def text_results(results):
-    """Results of text streams that hold anything but ASCII: the others cannot be garbled."""
+    """All results of text streams; ASCII too may be garbled."""
     from pyspark.sql import functions as F
 
-    return results.where(F.col("converter").isin(*TEXT_CONVERTERS) & F.col("markdown").rlike(r"[^\x00-\x7f]"))
+    return results.where(F.col("converter").isin(*TEXT_CONVERTERS))
 
 
 def garbled_records(results):

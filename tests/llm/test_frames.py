@@ -36,6 +36,14 @@ def test_p2(spark):
     assert [(r["result_id"], r["markdown"], r["charset"]) for r in out] == [(1, "década", "utf-8")]
 
 
+def test_p2_reads_all_text_streams(spark):
+    """Text of ASCII alone may be garbled too: 16-bit and seven-bit charsets."""
+    df = results(spark, ("plaintext", "The market.".encode("utf-16-le").decode("ascii") + "\n", None), ("csv", "新しい駅".encode("iso2022_jp").decode("ascii") + "\n", None), ("html", "d+AOk-cada\n", None), ("plaintext", "The market.\n", None), ("html", "", None), ("csv", None, None))
+    assert rows(mojibake.garbled_records(df)) == [(1,), (2,), (3,)]
+    streams = spark.createDataFrame([(1, "utf-8"), (2, None)], "stream_id long, charset string")
+    assert rows(mojibake.restored_records(df, streams).select("result_id", "markdown")) == [(1, "The market.\n"), (2, "新しい駅\n"), (3, "década\n")]
+
+
 def test_p3(spark):
     def page(n, extra):
         return f"[My Site](/)\n\n# Piece {n} of its kind\n\n" + f"This is paragraph {n} of the article and it is long enough to be read as prose, is it not? " * 4 + f"\n\n{extra}\n\n" + f"Another paragraph {n} follows here, and it too is long enough to count as prose for the test. " * 4 + "\n"

@@ -107,6 +107,28 @@ def test_utf8_read_by_any_charset(used):
         assert not mojibake.is_garbled(sound), sound
 
 
+@pytest.mark.parametrize("true", ["utf-16-le", "utf-16-be", "utf-16", "utf-32-le", "utf-32-be", "utf-7", "iso2022_jp", "hz"])
+def test_garbled_to_ascii(true):
+    """UTF-16 and UTF-32 read byte by byte and seven-bit charsets read as any other, in part of a text and as a whole."""
+    texts = {"iso2022_jp": ["# 新しい駅は昨日\n\n開かれた。"], "hz": ["这是一个中文的文本。"]}.get(true, ["The market was closed.\nYes.", "Les élèves, à midi, où l’on s’étonne…", "Наши рынки уже открыты.", "Zażółć gęślą jaźń 😀 tak."])
+    if true != "utf-7":
+        texts = [*texts, "# 新しい駅は昨日\n\n開かれた。"] if true.startswith("utf") else texts
+    for text in texts:
+        bad = "".join(mojibake.from_byte("cp1252").get(x, chr(x)) if x > 127 else chr(x) for x in text.encode(true))
+        if bad == text:  # UTF-7 leaves ASCII as it is
+            continue
+        for page in (bad, f"A sound line.\n{bad}\nEin schöner Satz.\n"):
+            assert mojibake.is_garbled(page), (true, page)
+            assert mojibake.restore(page) == page.replace(bad, text), (true, page)
+
+
+def test_sound_ascii():
+    assert mojibake.is_garbled("\x1b$B?7") and mojibake.restore("a $B?7$7$$1X$O(B b") == "a 新しい駅は b"
+    for t in ("a\0b", "PK\x03\x04\0\0\0\0\x08", "~{name~} ~{~a~}", "C+API and A4+A3, Pros+Yes, +IBM, Python+API-first", "+49 123 4567+89", "$A$B$C$D", "$Bash (B", "\x1b[31mred\x1b[0m", "Zm9v+AOk" * 9, "1+ABC-2"):
+        assert not mojibake.is_garbled(t) and mojibake.restore(t) == t, t
+    assert mojibake.is_garbled("$B" * 40_000) is False
+
+
 def test_declared_charset_decides():
     assert mojibake.charset_named("ISO-8859-5") == "iso8859-5" and mojibake.charset_named("no such") is None and mojibake.charset_named(None) is None
     assert mojibake._single_byte_pair(["Stra\u00e1e"], "cp850")[1] == "cp850"
